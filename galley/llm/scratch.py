@@ -1,0 +1,43 @@
+"""Tables that cut lineage, in the folder that all machines of a cluster share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; where that is unset (a local session, as in tests), a new temporary one that is then set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        found = tempfile.mkdtemp(prefix="galley-")
+        spark.sparkContext.setCheckpointDir(found)
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
+
+
+def write(df: DataFrame, folder: str) -> DataFrame:
+    """df written below folder and read back; it goes when the driver ends."""
+    spark = df.sparkSession
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """df as a table of the shared folder: later reads survive the loss of executors, and its plan is not run again."""
+    return write(df, f"{shared(df.sparkSession)}/galley")
+
+
+def drop(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes the files of tables that keep() returned and nothing reads any more."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

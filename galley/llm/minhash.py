@@ -8,8 +8,8 @@ similarity, concentrated as with t independent places (Dahlgaard, Knudsen, Thoru
 
 Steps: documents with the same words form a class, of which one stands for all; equal bands of
 sketches put classes into buckets; each bucket's members are confirmed against its first one on full
-sets; buckets whose members are then not all in one component have their remaining pairs confirmed
-in tiles. Links are looked for until all pairs that share a bucket are confirmed, refuted or known
+sets; in buckets whose members are then not all in one component, those outside the largest one are
+confirmed against all, in tiles. Links are looked for until all pairs that share a bucket are confirmed, refuted or known
 to be in one component, so banding alone decides what can be missed: see bands_for.
 """
 
@@ -92,7 +92,7 @@ def _confirm(k: int, percent: int):
         for a, ca, x in left:
             for b, cb, y in right:
                 if a == b or ca == cb:
-                    continue
+                    continue  # the same document, or known to be in one group
                 less, more = (x, y) if len(x) <= len(y) else (y, x)
                 if 100 * len(less) < percent * len(more) or not len(less):
                     continue
@@ -114,13 +114,13 @@ def _confirm(k: int, percent: int):
                 for i in range(texts.n):
                     r = row + i
                     if units[r] != unit:
-                        links += linked(sides[0], sides[1] or sides[0])
+                        links += linked(*sides)
                         unit, sides = units[r], ([], [])
                     sides[side[r]].append((ids[r], comps[r], key[cut[i] : cut[i + 1]].copy()))
             if links:
                 a, b = zip(*links, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-        links = linked(sides[0], sides[1] or sides[0])
+        links = linked(*sides)
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
 
     return run
@@ -153,13 +153,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     classes = scratch.keep(some.groupBy("s0", "s1").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("m")).select("s0", "s1", "m.*"))
     copies = some.join(classes.select("s0", "s1", F.col("doc_id").alias("a")), ["s0", "s1"]).where("doc_id != a").select("a", F.col("doc_id").alias("b")).distinct()
 
-    # Buckets: the classes that share a band. The first member is the leader.
+    # Buckets: the classes that share a band. By the band, one of three orders says who leads a bucket, so a
+    # member of a large group meets several leaders.
     placed = classes.select("doc_id", F.posexplode("bands").alias("band", "h"))
-    shared = placed.groupBy("band", "h").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last").select("band", "h", "leader")
+    first = F.min(F.struct(F.xxhash64("doc_id", F.pmod("band", F.lit(3))).alias("x"), "doc_id"))
+    shared = placed.groupBy("band", "h").agg(first["doc_id"].alias("leader"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("band", "h", "leader")
     members = scratch.keep(placed.join(shared, ["band", "h"]))
+    # The texts that are compared. Most are not: the shuffle is the only one of all texts.
     texts = docs.where("doc_id is not null")
     if made.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         texts = texts.groupBy("doc_id", F.xxhash64("text"), F.md5(F.col("text"))).agg(F.first("text").alias("text")).select("doc_id", "text")
+    texts = scratch.keep(texts.join(members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"))
 
     # First every member against its leader, in chunks by a hash of the member.
     star = members.where("doc_id != leader").select("leader", "doc_id").distinct()
@@ -168,27 +172,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     units = star.select("unit", F.lit(1).alias("side"), "doc_id").union(star.select("unit", F.lit(0), F.col("leader")).distinct())
     links = scratch.keep(_confirmed(units.withColumn("comp", F.col("doc_id")), texts, k, percent, parts))
 
-    # Then the pairs of a bucket that are in different components still, in tiles of members.
+    # Then the pairs of a bucket that are in different components still. Members outside the bucket's largest
+    # component are left over; tiles of these meet tiles of all members.
     reach = scratch.keep(connected_components(links, scratch.keep, lambda *old: scratch.drop(spark, *old)))
     known = members.join(reach.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "h", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
     mixed = (
-        known.groupBy("band", "h")
-        .agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("sig"))
-        .where("c0 < c1 and n > 2")  # of two members, the only pair is refuted
+        known.groupBy("band", "h", "comp")
+        .agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("sig"))
+        .groupBy("band", "h")
+        .agg(F.max(F.struct("n", "comp"))["comp"].alias("most"), F.max("n").alias("of_most"), F.sum("n").alias("n"), F.sum("sig").alias("sig"))
+        .where("of_most < n and n > 2")  # of two members, the only pair is refuted
         .groupBy("n", "sig")
-        .agg(F.min(F.struct("band", "h")).alias("m"))  # buckets with the same members count once
-        .select("m.*", F.ceil(F.col("n") / TILE).alias("tiles"))
-    )
-    left = known.join(mixed, ["band", "h"]).withColumn("tile", F.pmod(F.xxhash64("doc_id"), "tiles"))
-    pairs = left.select("band", "h", "doc_id", "comp", "tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)).alias("other"))
-    tiles = pairs.select(
-        F.struct(F.col("band").cast("bigint").alias("leader"), "h", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")).alias("unit"),
-        F.when(F.col("tile") <= F.col("other"), 0).otherwise(1).alias("side"), "doc_id", "comp",
+        .agg(F.min(F.struct("band", "h", "most", (F.col("n") - F.col("of_most")).alias("over"))).alias("m"))  # buckets with the same members count once
+        .select("m.band", "m.h", "m.most", F.ceil(F.col("n") / TILE).alias("tiles"), F.ceil(F.col("m.over") / TILE).alias("over"))
     )
-    more = scratch.keep(_confirmed(tiles, texts, k, percent, parts))
+    left = known.join(mixed, ["band", "h"])
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    at = lambda n: F.pmod(F.xxhash64("doc_id"), n)
+    over = left.where("comp != most").select("band", "h", at("over").alias("i"), upto("tiles").alias("j"), F.lit(0).alias("side"), "doc_id", "comp")
+    all_ = left.select("band", "h", upto("over").alias("i"), at("tiles").alias("j"), F.lit(1).alias("side"), "doc_id", "comp")
+    unit = F.struct(F.col("band").cast("bigint").alias("band"), "h", "i", "j").alias("unit")
+    more = scratch.keep(_confirmed(over.union(all_).select(unit, "side", "doc_id", "comp"), texts, k, percent, parts))
     reach2 = connected_components(links.union(more).union(copies), scratch.keep, lambda *old: scratch.drop(spark, *old))
     reach2 = scratch.keep(reach2.where("node != component").withColumnRenamed("node", "doc_id"))
-    scratch.drop(spark, classes, members, star, links, reach, more)
+    scratch.drop(spark, classes, members, texts, star, links, reach, more)
     return made.join(reach2, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("component").isNull(), F.lit(True)).alias("kept")
     )

@@ -5,18 +5,47 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from galley.llm import minhash
+from galley.llm import linededup, minhash, mixture, piece, quality
+from galley.llm.queries import model_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the labels of the documents that are there."""
+    return quality.select(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that ten documents have go; n_chars follows. A document none of whose lines stay keeps its row."""
+    out = linededup.drop_repeated_lines(docs, at_least=10).select(*docs.columns)
+    return out.withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: five-word shingles, similarity 0.8 or more."""
     return minhash.first_of_group(docs, k=5, percent=80)
 
 
-STAGES: list[tuple[str, Stage]] = [("minhash_near_dedup", near_dedup)]
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixture.emit(docs)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text, and the text that they decode to."""
+    return piece.encode(docs, model_path(), keep=tuple(docs.columns))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup),
+    ("minhash_near_dedup", near_dedup),
+    ("source_mixing", source_mixing),
+    ("sentencepiece", sentencepiece),
+]
 #: A trained classifier decides the first stage, which SQL cannot express.
 ORACLE_SQL = None
 

@@ -1,10 +1,6 @@
-"""The queries of the layout and fidelity operators, each with the SQL that gives the same rows."""
+"""All queries of the layout and fidelity operators."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from galley.plans import fidelity, gates, scalars, sequences, spatial  # noqa: F401  they register themselves
+from galley.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -25,7 +25,7 @@ def multiset_share(source: DataFrame, out: DataFrame, keys: list[str], token: st
 def grams(text: Column, n: int = 3) -> Column:
     """The windows of n characters of a text without ASCII white space."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", "")
-    return F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, n))).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
 def placement(matches: DataFrame, keys: list[str], dx: Column, dy: Column) -> DataFrame:

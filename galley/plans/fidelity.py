@@ -21,8 +21,10 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH b AS (SELECT item_id, regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g') AS t FROM benchmark), d AS (SELECT doc_id, doc_id % (SELECT count(*) FROM benchmark) AS item_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS t FROM documents),
-bg AS (SELECT item_id, substr(t, j, 3) AS g, count(*) AS n FROM (SELECT item_id, t, unnest(range(1, length(t) - 1)) AS j FROM b) GROUP BY ALL), dg AS (SELECT doc_id, item_id, substr(t, j, 3) AS g, count(*) AS n FROM (SELECT doc_id, item_id, t, unnest(range(1, length(t) - 1)) AS j FROM d) GROUP BY ALL)
+WITH b AS (SELECT item_id, regexp_extract_all(text, '[^\x20\x09-\x0D]') AS l FROM benchmark), d AS (SELECT doc_id, doc_id % (SELECT count(*) FROM benchmark) AS item_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]') AS l FROM documents),
+bc AS (SELECT item_id, unnest(l) AS c, generate_subscripts(l, 1) AS j FROM b), dc AS (SELECT doc_id, item_id, unnest(l) AS c, generate_subscripts(l, 1) AS j FROM d),
+bg AS (SELECT item_id, g, count(*) AS n FROM (SELECT item_id, c || lead(c, 1) OVER w || lead(c, 2) OVER w AS g FROM bc WINDOW w AS (PARTITION BY item_id ORDER BY j)) WHERE g IS NOT NULL GROUP BY ALL),
+dg AS (SELECT doc_id, item_id, g, count(*) AS n FROM (SELECT doc_id, item_id, c || lead(c, 1) OVER w || lead(c, 2) OVER w AS g FROM dc WINDOW w AS (PARTITION BY doc_id ORDER BY j)) WHERE g IS NOT NULL GROUP BY ALL)
 SELECT dg.doc_id, dg.item_id, round(sum(least(dg.n, coalesce(bg.n, 0))) / sum(dg.n), 9) AS coverage FROM dg LEFT JOIN bg USING (item_id, g) GROUP BY dg.doc_id, dg.item_id
 """)
 def gram_coverage_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,17 +39,14 @@ def gram_coverage_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-WITH {V.WORDS}, a AS (SELECT doc_id, word, count(*) AS n FROM words GROUP BY ALL), p AS (SELECT doc_id, lead(doc_id) OVER (ORDER BY doc_id) AS other FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id < 1000000000))
-SELECT p.doc_id, CAST(sum(least(a.n, coalesce(b.n, 0))) AS BIGINT) AS matched, CAST(sum(a.n) AS BIGINT) AS total, round(sum(least(a.n, coalesce(b.n, 0))) / sum(a.n), 9) AS recall
-FROM p JOIN a USING (doc_id) LEFT JOIN a b ON b.doc_id = p.other AND b.word = a.word GROUP BY p.doc_id
+WITH {V.WORDS}, a AS (SELECT doc_id, word, count(*) AS n FROM words GROUP BY ALL)
+SELECT a.doc_id, CAST(sum(least(a.n, coalesce(b.n, 0))) AS BIGINT) AS matched, CAST(sum(a.n) AS BIGINT) AS total, round(sum(least(a.n, coalesce(b.n, 0))) / sum(a.n), 9) AS recall
+FROM a LEFT JOIN a b ON b.doc_id = a.doc_id + 1 AND b.word = a.word GROUP BY a.doc_id
 """)
 def word_recall_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of a document's words that the next one has, page by page or not, with repeats."""
-    ids = V.table(spark, sf_dir, "documents").select("doc_id").where("doc_id < 1000000000").distinct()
-    pairs = ids.select("doc_id", F.lead("doc_id").over(Window.orderBy("doc_id")).alias("other"))
     w = V.words(spark, sf_dir).select("doc_id", "word")
-    out = w.join(pairs.select(F.col("other"), F.col("doc_id").alias("of")), w["doc_id"] == F.col("other")).select(F.col("of").alias("doc_id"), "word")
-    made = D.multiset_share(w.join(ids, "doc_id"), out, ["doc_id"], "word", "recall")
+    made = D.multiset_share(w, w.select((F.col("doc_id") - 1).alias("doc_id"), "word"), ["doc_id"], "word", "recall")
     return made.select("doc_id", "matched", "total", F.round("recall", 9).alias("recall"))
 
 

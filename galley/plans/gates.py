@@ -11,12 +11,12 @@ from galley.plans import views as V
 from galley.plans.registry import query
 
 #: Metric rows by closed formulas over documents: the candidate's, and the recorded ones of documents with labels.
-ROWS = """rows AS (SELECT doc_id, CAST(n_chars % 3 = 0 AS INTEGER)::DOUBLE AS page_err, CASE WHEN doc_id % 17 = 0 THEN NULL ELSE (90 + n_chars % 12) / 100.0::DOUBLE END AS live_text_cov, (92 + n_chars % 9) / 100.0::DOUBLE AS doc_recall,
+ROWS = """measured AS (SELECT doc_id, CAST(n_chars % 3 = 0 AS INTEGER)::DOUBLE AS page_err, CASE WHEN doc_id % 17 = 0 THEN NULL ELSE (90 + n_chars % 12) / 100.0::DOUBLE END AS live_text_cov, (92 + n_chars % 9) / 100.0::DOUBLE AS doc_recall,
     (88 + n_chars % 13) / 100.0::DOUBLE AS word_recall, (n_chars % 10) / 10.0::DOUBLE AS within2pt, (n_chars % 41) / 10.0::DOUBLE AS dy_p50, (n_chars % 5) / 100.0::DOUBLE AS raster_frac FROM documents),
 base AS (SELECT DISTINCT d.doc_id, 0.0::DOUBLE AS page_err, 0.96::DOUBLE AS live_text_cov, 0.96::DOUBLE AS doc_recall, 0.93::DOUBLE AS word_recall, 0.5::DOUBLE AS within2pt, 2.0::DOUBLE AS dy_p50, 0.02::DOUBLE AS raster_frac FROM documents d JOIN labels l USING (doc_id) UNION ALL SELECT -7, 0.0, 0.96, 0.96, 0.93, 0.5, 2.0, 0.02),
 spec AS (SELECT * FROM (VALUES ('page_err', 'lower', 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), ('live_text_cov', 'higher', 0.95, 0.010, 0.0), ('doc_recall', 'higher', 0.95, 0.010, 0.0), ('word_recall', 'higher', 0.90, 0.020, 0.0), ('within2pt', 'higher', NULL, 0.050, 0.0), ('dy_p50', 'lower', NULL, 0.5, 0.1), ('raster_frac', 'lower', NULL, 0.020, 0.0)) t(metric, better, threshold, absolute, relative)),
-nowl AS (SELECT doc_id, metric, value, true AS here FROM (UNPIVOT INCLUDE NULLS rows ON page_err, live_text_cov, doc_recall, word_recall, within2pt, dy_p50, raster_frac INTO NAME metric VALUE value)),
-thenl AS (SELECT doc_id, metric, ref, true AS there FROM (UNPIVOT INCLUDE NULLS base ON page_err, live_text_cov, doc_recall, word_recall, within2pt, dy_p50, raster_frac INTO NAME metric VALUE ref))"""
+nowl AS (SELECT doc_id, metric, value, true AS here FROM (FROM measured UNPIVOT INCLUDE NULLS (value FOR metric IN (page_err, live_text_cov, doc_recall, word_recall, within2pt, dy_p50, raster_frac)))),
+thenl AS (SELECT doc_id, metric, ref, true AS there FROM (FROM base UNPIVOT INCLUDE NULLS (ref FOR metric IN (page_err, live_text_cov, doc_recall, word_recall, within2pt, dy_p50, raster_frac))))"""
 _WORSE = "(CASE WHEN better = 'lower' THEN value > ref + greatest(absolute, relative * abs(ref)) ELSE value < ref - greatest(absolute, relative * abs(ref)) END)"
 _BETTER = "(CASE WHEN better = 'lower' THEN value < ref - greatest(absolute, relative * abs(ref)) ELSE value > ref + greatest(absolute, relative * abs(ref)) END)"
 _BELOW = "(CASE WHEN better = 'lower' THEN value > threshold ELSE value < threshold END)"
@@ -144,7 +144,7 @@ def ladder_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-WITH {ROWS}, r AS (SELECT doc_id, CASE WHEN page_err > 0 THEN 'fail' WHEN live_text_cov IS NULL THEN 'error' WHEN live_text_cov < 0.95 THEN 'warn' ELSE 'pass' END AS verdict FROM rows)
+WITH {ROWS}, r AS (SELECT doc_id, CASE WHEN page_err > 0 THEN 'fail' WHEN live_text_cov IS NULL THEN 'error' WHEN live_text_cov < 0.95 THEN 'warn' ELSE 'pass' END AS verdict FROM measured)
 SELECT doc_id, verdict, row_number() OVER (ORDER BY list_position(['error', 'fail', 'warn', 'pass'], verdict), doc_id) AS place FROM r
 """)
 def severity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +159,7 @@ def severity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-WITH {ROWS}, p AS (SELECT doc_id, within2pt AS observed, (doc_id % 10) / 10.0::DOUBLE AS predicted FROM rows)
+WITH {ROWS}, p AS (SELECT doc_id, within2pt AS observed, (doc_id % 10) / 10.0::DOUBLE AS predicted FROM measured)
 SELECT doc_id, CASE WHEN abs(observed - predicted) <= 0.05 THEN 'confirmed' WHEN observed > predicted THEN 'better' ELSE 'refuted' END AS grade FROM p
 """)
 def prediction_grading(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,6 +169,7 @@ def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql.window import Window
 
     before = F.lag("word").over(Window.partitionBy("doc_id").orderBy("i"))
-    found = V.words(spark, sf_dir).select("doc_id", "i", "page", before.alias("before"), F.explode(F.regexp_extract_all("word", F.lit("\\d+"), F.lit(0))).alias("digits"))
+    told = V.words(spark, sf_dir).withColumn("before", before)
+    found = told.where(F.col("word").rlike("\\d")).select("doc_id", "i", "page", "before", F.explode(F.regexp_extract_all("word", F.lit("\\d+"), F.lit(0))).alias("digits"))
     role = F.when(F.col("digits") == F.col("page").cast("string"), "PAGE").when(F.col("before").rlike(T.OF_WORDS), "NUMPAGES").otherwise("LITERAL")
     return found.select("doc_id", "i", "digits", role.alias("role"))

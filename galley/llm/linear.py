@@ -65,9 +65,9 @@ def svm(x: Rows, y: np.ndarray, l2: float = 1e-4, steps: int = 60, rate: float =
     return w[:-1], float(w[-1])
 
 
-def ordinal(x: Rows, grade: np.ndarray, levels: int, l2: float = 1e-4, steps: int = 120, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """Shared weights w and rising thresholds t of P(grade <= j) = logistic(t[j] - w x), by penalised likelihood; all grades weigh the same."""
-    share = (1 / np.maximum(1, np.bincount(grade, minlength=levels)) / len(np.unique(grade)))[grade]
+def ordinal(x: Rows, grade: np.ndarray, levels: int, share: np.ndarray | None = None, l2: float = 1e-4, steps: int = 120, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """Shared weights w and rising thresholds t of P(grade <= j) = logistic(t[j] - w x), by penalised likelihood with the rows' shares (alike, if none are given)."""
+    share = np.full(len(grade), 1 / len(grade)) if share is None else share
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
     def thresholds(raw: np.ndarray) -> np.ndarray:

@@ -25,7 +25,10 @@ WIDTH = 1 << 18
 LEVELS = 3
 #: Labelled documents of each grade, and bytes of a document, that the model is fitted on at most.
 SAMPLE_DOCS, SAMPLE_BYTES = 2500, 1 << 15
-DIFFERS = 6.0
+DIFFERS = 4.5
+#: The least tail probability of a document that is selected. The best grade and the others weigh the same when the
+#: model is fitted, so a document about which nothing is known has one half.
+LEAST = 0.45
 
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -81,7 +84,8 @@ def fit(texts: list[str], grades: list[int]) -> Model:
         p = (with_high + with_low) / len(g)
         kept |= np.abs(with_high / high - with_low / low) > DIFFERS * np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / high + 1 / low))
     x.value = np.where(kept[x.column], x.value, 0.0)
-    w, t = ordinal(x, g, LEVELS, l2=1e-6, rate=0.2)
+    best = g == LEVELS - 1
+    w, t = ordinal(x, g, LEVELS, np.where(best, 0.5 / max(1, best.sum()), 0.5 / max(1, (~best).sum())), l2=1e-6, rate=0.2)
     return Model(w * kept, t)
 
 
@@ -118,6 +122,6 @@ def grade(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(_grade(model), f"{schema}, __expected double, __tail double")
 
 
-def select(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+def select(docs: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
     """The documents whose probability of the best grade is at least so high; all columns stay."""
     return grade(docs, model).where(F.col("__tail") >= least).drop("__expected", "__tail")

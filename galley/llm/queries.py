@@ -63,7 +63,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     graded = quality.grade(docs.select("doc_id", "text"), model)
-    return graded.select("doc_id", F.col("__expected").alias("expected_grade"), F.col("__tail").alias("tail_probability"), (F.col("__tail") >= 0.5).alias("kept"))
+    return graded.select("doc_id", F.col("__expected").alias("expected_grade"), F.col("__tail").alias("tail_probability"), (F.col("__tail") >= quality.LEAST).alias("kept"))
 
 
 @query

@@ -59,6 +59,7 @@ def packages(paras: DataFrame) -> DataFrame:
     def made(frame: pd.DataFrame) -> pd.DataFrame:
         rows = frame.sort_values("seq").to_dict("records")
         for r in rows:
+            r |= {k: None for k, v in r.items() if isinstance(v, float) and v != v}
             r["runs"] = [x.asDict() if hasattr(x, "asDict") else dict(x) for x in r["runs"]]
         return pd.DataFrame({"doc_id": [frame["doc_id"].iloc[0]], "content": [package(rows)]})
 

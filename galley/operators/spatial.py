@@ -80,3 +80,16 @@ def first_band(x: Column, edges: list[float], within: float = 1.0) -> Column:
     for i, (a, b) in reversed(list(enumerate(pairs))):
         out = F.when(x.between(a - within, b + within), F.lit(i)).otherwise(out)
     return out
+
+
+def merged_boxes(boxes: DataFrame, keys: list[str], ident: str, within: float, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Boxes united with those at most `within` apart until no two are: (keys, ident, x0, y0, x1, y1, n), ident being the smallest of a union."""
+    now = cut(boxes.select(*keys, ident, "x0", "y0", "x1", "y1", F.lit(1).cast("bigint").alias("n")))
+    while True:
+        of = touching(now, keys, ident, within, cut)
+        nxt = cut(
+            now.join(of, ident).groupBy(*keys, F.col("component").alias(ident)).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum("n").alias("n"))
+        )
+        if nxt.count() == now.count():
+            return nxt
+        now = nxt

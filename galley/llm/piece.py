@@ -6,7 +6,7 @@ piece gives the pieces of its UTF-8 bytes. The grammar G reads pieces and gives
 weight 0 if merging its characters by rank yields just these two pieces, else infinity; a BPE encoding
 is the one sequence of pieces all of whose neighbouring pairs have weight 0. Encoding a text composes
 it with N, L and G and takes the shortest path in the tropical semiring. Every prefix of the input has
-one encoding, so one finite path reaches each state and the search keeps one piece per position.
+one encoding, so one finite path leads through, and a depth-first search finds it.
 
 No piece holds a meta symbol behind another character, and some characters (the line feed, say) are in
 no piece of several characters; the path passes such places whatever comes before or after, so a text
@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 META = "▁"
 #: Kinds of pieces in the model format: normal 1, unknown 2, control 3, user-defined 4, unused 5, byte 6.
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
-#: Parts whose paths, and pairs whose weights, a worker keeps; it forgets them all beyond.
-CACHE_PARTS, CACHE_PAIRS = 200_000, 400_000
+#: Parts whose paths, and pairs whose weights, a worker keeps: of the parts so many of either generation, the
+#: older of which it forgets when the younger is full; the pairs it forgets beyond.
+CACHE_PARTS, CACHE_PAIRS = 300_000, 400_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -93,12 +94,15 @@ class Transducer:
         self.rank = {p: -model.pieces[i][1] for p, i in self.ids.items()}
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(model.pieces) if kind == BYTE}
         self.unknown = next((i for i, (_, _, kind) in enumerate(model.pieces) if kind == UNKNOWN), 0)
-        self.longest = max(map(len, self.ids), default=1)
         inner = {c for p in self.ids if len(p) > 1 for c in p}
         self.cuts_at_meta = not any(META in p.lstrip(META) for p in self.ids)
         self.cuts_at_line = "\n" not in inner
         self.pairs: dict[tuple[str, str], bool] = {}
         self.parts: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.reach: dict[str, int] = {}
+        for p in self.ids:
+            self.reach[p[0]] = max(self.reach.get(p[0], 1), len(p))
 
     def merged(self, text: str) -> list[str]:
         """The characters of a short text merged by rank, the leftmost of equal ranks first."""
@@ -124,26 +128,41 @@ class Transducer:
         return found
 
     def path(self, part: str) -> list[str]:
-        """The pieces along the shortest path through a normalised part; a character that is no piece stands for its bytes."""
-        n, ids, longest = len(part), self.ids, self.longest
-        last: list[str] = [""] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end - 1):
-                piece = part[start:end]
-                if piece in ids and self.allowed(last[start], piece):
-                    last[end] = piece
-                    break
+        """The pieces along the shortest path through a normalised part; a character that is no piece stands for its bytes.
+
+        Arcs of weight 0 are tried depth first, longer pieces before shorter ones, and a state (a place and
+        the piece that ends there) is entered once: the first path to the end is the only one.
+        """
+        n, ids, reach, pairs = len(part), self.ids, self.reach, self.pairs
+        out: list[str] = []
+        at, last, size = 0, "", min(n, reach.get(part[0], 1))
+        dead: set[tuple[int, int]] = set()
+        while at < n:
+            while size:
+                piece = part[at : at + size]
+                if (size == 1 or piece in ids) and (at, size) not in dead:
+                    ok = pairs.get((last, piece))
+                    if self.allowed(last, piece) if ok is None else ok:
+                        break
+                size -= 1
+            if size:
+                out.append(piece)
+                at, last = at + size, piece
+                if at < n:
+                    size = min(n - at, reach.get(part[at], 1))
             else:
-                last[end] = part[end - 1]
-        out, at = [], n
-        while at:
-            out.append(last[at])
-            at -= len(last[at])
-        return out[::-1]
+                if not out:
+                    raise ValueError("the grammar has no path")
+                size = len(out.pop())
+                at -= size
+                dead.add((at, size))
+                last = out[-1] if out else ""
+                size -= 1
+        return out
 
     def part(self, part: str) -> bytes:
         """The ids of a normalised part as 32-bit integers."""
-        found = self.parts.get(part)
+        found = self.old.get(part)
         if found is None:
             out: list[int] = []
             for piece in self.path(part):
@@ -154,11 +173,11 @@ class Transducer:
                     out += [self.bytes[b] for b in piece.encode()]
                 else:
                     out.append(self.unknown)
-            found = np.array(out, np.int32).tobytes()
-            if len(part) <= 64:
-                if len(self.parts) >= CACHE_PARTS:
-                    self.parts.clear()
-                self.parts[part] = found
+            found = struct.pack(f"<{len(out)}i", *out)
+        if len(part) <= 64:
+            if len(self.parts) >= CACHE_PARTS:
+                self.old, self.parts = self.parts, {}
+            self.parts[part] = found
         return found
 
     def cut(self, text: str) -> list[str]:
@@ -184,7 +203,8 @@ class Transducer:
         return out
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.part, self.cut(text))), np.int32)
+        get, part = self.parts.get, self.part
+        return np.frombuffer(b"".join([get(x) or part(x) for x in self.cut(text)]), "<i4")
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: bytes of neighbouring byte pieces are read as UTF-8; one space in front goes."""

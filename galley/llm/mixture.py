@@ -6,13 +6,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
 from galley.llm import scratch, textvec
 
 #: Sources beyond this many are joined by a shuffle, not broadcast (a row takes about 100 bytes).
 BROADCAST_SOURCES = 50_000
-@F.arrow_udf("bigint")
+@F.arrow_udf(LongType())
 def n_words(text: pa.Array) -> pa.Array:
     """The number of runs of characters other than [\\x20\\x09-\\x0D]; a null text has none."""
     counts = [np.zeros(0, np.int64)]

@@ -1,11 +1,12 @@
 """Stupid-backoff scores of documents, computed by joins of n-gram tables.
 
-Documents are dealt into blocks by a hash. A block's n-grams, of every order up to the longest, are
-exploded and pre-aggregated to distinct hashes with counts; these go to the count tables, which are
-partitioned by hash; each table sums what the blocks sent and answers every block with the corpus counts
-of its own n-grams, in the order asked; and the block joins the answers to its n-grams again and sums per
-document. A block sends an n-gram once, however often it has it, so common n-grams weigh no more than
-rare ones, and rows are packed arrays of a bounded size.
+Documents are taken in blocks, runs of rows of an input partition. A block's n-grams, of every order up to
+the longest, are exploded and pre-aggregated to distinct hashes with counts; these go to the count tables,
+which are partitioned by hash; each table sums what the blocks sent and answers every block with the corpus
+counts of its own n-grams, in the order asked; and the block joins the answers to its n-grams again and sums
+per document. A block sends an n-gram once, however often it has it, so common n-grams weigh no more than
+rare ones. Its texts travel with its questions and answers, compressed, so that they are read once and
+nothing depends on blocks being cut alike twice. Rows are packed arrays of a bounded size.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galley.llm import scratch, textvec
+from galley.llm import textvec
+from galley.llm.mixture import n_words
 
 #: Bytes of text in a block, about, where the corpus is small. There are as many tables as blocks, and a block sends
 #: a row to each, so blocks grow with the square root of the corpus: rows then hold LEAST_ROW bytes of text or more.
@@ -27,7 +30,7 @@ BLOCK_BYTES = 12 << 20
 LEAST_ROW = 8192
 
 
-def _grams(texts: textvec.Texts, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def _grams(texts: textvec.Texts, order: int, bits: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """The text of each word, the number of words, and for n = 1..order the hash of the n words that end at each word (0 where the text has fewer)."""
     starts, ends = texts.words()
     h, of = texts.hashes(starts, ends, fold=True), texts.text_of(starts)
@@ -35,11 +38,32 @@ def _grams(texts: textvec.Texts, order: int) -> tuple[np.ndarray, np.ndarray, li
     for n in range(1, order + 1):
         key = np.zeros(len(h), np.uint64)
         at = textvec.windows(of, texts.n, n)
-        key[at + n - 1] = textvec.chain(h, n, at) | np.uint64(1)
+        key[at + n - 1] = (textvec.chain(h, n, at) >> np.uint64(64 - bits)) | np.uint64(1)
         out.append(key)
     return of, np.bincount(of, minlength=texts.n), out
 
 
+def _pack_texts(ids: pa.Array, texts: list[tuple[np.ndarray, np.ndarray]]) -> bytes:
+    """The ids (with a mark where null), sizes and bytes of a block's texts, compressed."""
+    sizes = np.concatenate([np.diff(off) for _, off in texts]).astype("<i8")
+    head = [np.array([len(sizes)], "<i8"), np.asarray(ids.fill_null(0)).astype("<i8"), np.asarray(ids.is_null()).astype("<i8"), sizes]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([*(x.tobytes() for x in head), *(buf.tobytes() for buf, _ in texts)]))
+
+
+def _unpack_texts(data: bytes) -> tuple[pa.Array, list[textvec.Texts]]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    ids, null, sizes = (np.frombuffer(raw, "<i8", n, 8 + 8 * n * i) for i in range(3))
+    off = np.concatenate([[0], np.cumsum(sizes)])
+    buf = np.frombuffer(raw, np.uint8, offset=8 + 24 * n)
+    out, row = [], 0
+    while row < n:
+        to = max(row + 1, int(np.searchsorted(off, off[row] + textvec.SLICE_BYTES, "right")) - 1)
+        out.append(textvec.Texts(buf[off[row] : off[to]], off[row : to + 1] - off[row], np.zeros(to - row, bool)))
+        row = to
+    return pa.array(ids, mask=null.astype(bool)), out
+
+
 def _squeeze(sorted_keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted keys as differences, byte by byte plane, and counts; both compressed."""
     step = np.diff(sorted_keys, prepend=np.uint64(0)).astype("<u8")
@@ -54,9 +78,9 @@ def _expand(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view("<u4").ravel().astype(np.int64)
 
 
-def _table_of(keys: np.ndarray, tables: int) -> np.ndarray:
+def _table_of(keys: np.ndarray, tables: int, bits: int) -> np.ndarray:
     """The table of each key: ranges of hashes, so that sorted keys are cut in order."""
-    return ((keys >> np.uint64(32)) * np.uint64(tables) >> np.uint64(32)).astype(np.int64)
+    return ((keys >> np.uint64(bits - 32)) * np.uint64(tables) >> np.uint64(32)).astype(np.int64)
 
 
 def _distinct(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -65,104 +89,118 @@ def _distinct(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return keys[new], np.diff(np.append(new, len(keys)))
 
 
-def _texts_by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
-    """The rows of each block, from rows in the order of blocks."""
-    block, held = None, []
-    for batch in batches:
-        ids = np.asarray(batch.column("block"))
-        cut = np.flatnonzero(np.diff(ids)) + 1
-        for a, b in zip([0, *cut], [*cut, len(ids)], strict=True):
-            if a == b:
-                continue
-            if block is not None and ids[a] != block:
-                yield block, held
-                held = []
-            block = int(ids[a])
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield block, held
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of all parts, sorted, with their summed counts."""
+    keys, counts = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in parts)]), np.concatenate([np.zeros(0, np.int64), *(c for _, c in parts)])
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[new], np.add.reduceat(counts, new) if len(new) else counts
 
 
-def _ask(order: int, tables: int):
+def _ask(order: int, tables: int, block_bytes: int, bits: int):
+    """Rows (table, block, texts, data): to each table a block's keys and counts, and to one of them its texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, held in _texts_by_block(batches):
-            parts, words = [], 0
-            for batch in held:
-                for _, texts in textvec.slices(batch.column("text")):
-                    _, n, grams = _grams(texts, order)
-                    words += int(n.sum())
-                    parts += [g[g != 0] for g in grams]
-            keys, counts = _distinct(parts)
-            cut = np.searchsorted(_table_of(keys, tables), np.arange(tables + 1))
-            data = [_squeeze(keys[a:b], counts[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(tables)), pa.array(np.full(tables, block)), pa.array(np.full(tables, words)), pa.array(data, pa.binary())], names=["table", "block", "words", "data"])
+        context = TaskContext.get()
+        number, size = 0, 0
+        ids: list[pa.Array] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal number, size, ids, held, parts
+            block = context.partitionId() << 32 | number
+            keys, counts = _summed(parts)
+            cut = np.searchsorted(_table_of(keys, tables, bits), np.arange(tables + 1))
+            texts = _pack_texts(pa.concat_arrays(ids), held)
+            number, size, ids, held, parts = number + 1, 0, [], [], []
+            home = number % tables
+            for t, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+                data = _squeeze(keys[a:b], counts[a:b])
+                yield pa.RecordBatch.from_arrays([pa.array([t], pa.int64()), pa.array([block], pa.int64()), pa.array([texts if t == home else None], pa.binary()), pa.array([data], pa.binary())], names=["table", "block", "texts", "data"])
+
+        for batch in batches:
+            for row, texts in textvec.slices(batch.column("text")):
+                ids.append(batch.column("doc_id").slice(row, texts.n))
+                held.append((texts.buf.copy(), texts.off))
+                grams = _grams(texts, order, bits)[2]
+                parts.append(_distinct([g[g != 0] for g in grams]))
+                size += len(texts.buf)
+                if size >= block_bytes:
+                    yield from close()
+        if ids:
+            yield from close()
 
     return run
 
 
-def _answer(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tables in order: the counts of all blocks are summed, and each block gets them for the keys that it sent."""
     table, blocks, held = None, [], []
 
     def sums() -> Iterator[pa.RecordBatch]:
-        expanded = [_expand(x) for x in held]
-        keys, counts = np.concatenate([k for k, _ in expanded]), np.concatenate([c for _, c in expanded])
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        total = np.add.reduceat(counts, new) if len(new) else counts
-        keys = keys[new]
-        for block, (k, _) in zip(blocks, expanded, strict=True):
-            got = total[np.searchsorted(keys, k)].astype("<u8")
+        keys, total = _summed([_expand(x) for x in held])
+        for block, x in zip(blocks, held, strict=True):
+            got = total[np.searchsorted(keys, _expand(x)[0])].astype("<u8")
             data = zstandard.ZstdCompressor(level=1).compress(got.view(np.uint8).reshape(-1, 8).T.copy().tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([table], pa.int64()), pa.array([data], pa.binary())], names=["block", "table", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([table], pa.int64()), pa.array([None], pa.binary()), pa.array([data], pa.binary())], names=["block", "table", "texts", "data"])
 
-    for batch in group:
-        for t, b, x in zip(*(batch.column(c).to_pylist() for c in ("table", "block", "data")), strict=True):
+    for batch in batches:
+        for t, b, texts, x in zip(*(batch.column(c).to_pylist() for c in ("table", "block", "texts", "data")), strict=True):
             if table is not None and t != table:
                 yield from sums()
                 blocks, held = [], []
             table = t
             blocks.append(b)
             held.append(x)
+            if texts is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([-1], pa.int64()), pa.array([texts], pa.binary()), pa.array([None], pa.binary())], names=["block", "table", "texts", "data"])
     if held:
         yield from sums()
 
 
-def _score(order: int, least: int, alpha: float, total: int):
-    """A block's texts (side 1) and answers (side 0), in the order of blocks, become scores."""
+def _score(order: int, least: int, alpha: float, total: int, bits: int):
+    """A block's texts (table -1) and answers, in the order of blocks and tables, become scores."""
+
+    def scored(packed: bytes, answers: list[bytes]) -> Iterator[pa.RecordBatch]:
+        ids, slices = _unpack_texts(packed)
+        parts = []
+        for texts in slices:
+            parts.append(_distinct([g[g != 0] for g in _grams(texts, order, bits)[2]]))
+        keys, _ = _summed(parts)
+        del parts
+        planes = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8) for x in answers]
+        counts = np.concatenate([np.zeros(0, np.int64), *(np.ascontiguousarray(p.reshape(8, -1).T).view("<u8").ravel().astype(np.int64) for p in planes)])
+        row = 0
+        for texts in slices:
+            of, n, grams = _grams(texts, order, bits)
+            c = [np.where(g != 0, counts[np.minimum(np.searchsorted(keys, g), max(len(keys) - 1, 0))], 0) if len(keys) else g.astype(np.int64) for g in grams]
+            score = np.log(np.maximum(c[0], 1) / max(total, 1))
+            backed = np.zeros(len(of), np.int64)
+            for m in range(1, order):  # a longer n-gram, where it is known, has the say
+                before = np.concatenate([[0], c[m - 1][:-1]])
+                known, has = c[m] >= least, grams[m] != 0
+                score = np.where(known, np.log(np.maximum(c[m], 1) / np.maximum(before, 1)), score + np.where(has, math.log(alpha), 0.0))
+                backed = np.where(known, 0, backed + has)
+            sums = [np.bincount(of, weights=x, minlength=texts.n) for x in (score, backed)]
+            yield pa.RecordBatch.from_arrays([ids.slice(row, texts.n), pa.array(n.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1].astype(np.int64))], names=["doc_id", "n_words", "log_score", "n_backoffs"])
+            row += texts.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in _texts_by_block(batches):
-            answers, rows = [], []
-            for batch in held:
-                side = np.asarray(batch.column("side"))
-                for t, x in zip(*(batch.filter(pa.array(side == 0)).column(c).to_pylist() for c in ("table", "data")), strict=True):
-                    answers.append((t, x))
-                if (side == 1).any():
-                    rows.append(batch.filter(pa.array(side == 1)))
-            parts = []
-            for batch in rows:
-                for _, texts in textvec.slices(batch.column("text")):
-                    parts += [g[g != 0] for g in _grams(texts, order)[2]]
-            keys, _ = _distinct(parts)
-            del parts
-            planes = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8) for _, x in sorted(answers)]
-            counts = np.concatenate([np.zeros(0, np.int64), *(np.ascontiguousarray(p.reshape(8, -1).T).view("<u8").ravel().astype(np.int64) for p in planes)])
-            for batch in rows:
-                for row, texts in textvec.slices(batch.column("text")):
-                    of, n, grams = _grams(texts, order)
-                    c = [np.where(g != 0, counts[np.minimum(np.searchsorted(keys, g), max(len(keys) - 1, 0))], 0) if len(keys) else g.astype(np.int64) for g in grams]
-                    score = np.log(np.maximum(c[0], 1) / max(total, 1))
-                    backed = np.zeros(len(of), np.int64)
-                    for m in range(1, order):  # a longer n-gram, where it is known, has the say
-                        before = np.concatenate([[0], c[m - 1][:-1]])
-                        known = c[m] >= least
-                        has = grams[m] != 0
-                        score = np.where(known, np.log(np.maximum(c[m], 1) / np.maximum(before, 1)), score + np.where(has, math.log(alpha), 0.0))
-                        backed = np.where(known, 0, backed + has)
-                    ids = batch.column("doc_id").slice(row, texts.n)
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(np.bincount(of, weights=score, minlength=texts.n)), pa.array(np.bincount(of, weights=backed, minlength=texts.n).astype(np.int64))], names=["doc_id", "n_words", "log_score", "n_backoffs"])
+        block, packed, answers = None, None, []
+        for batch in batches:
+            for b, texts, x in zip(*(batch.column(c).to_pylist() for c in ("block", "texts", "data")), strict=True):
+                if block is not None and b != block:
+                    yield from scored(packed, answers)
+                    answers = []
+                block = b
+                if texts is not None:
+                    packed = texts
+                else:
+                    answers.append(x)
+        if block is not None:
+            yield from scored(packed, answers)
 
     return run
 
@@ -174,19 +212,16 @@ def score(docs: DataFrame, order: int = 3, least: int = 2, alpha: float = 0.4) -
     count(n-gram) / count(its first n - 1 words) for the longest n-gram up to the order that ends at it and
     that the corpus has at least `least` times, times alpha for each longer one (within the document) that it
     has not; a single word's is its share of all words. log_score sums logarithms; n_backoffs sums the steps
-    down. A null text or one without words has 0 words and the score 0. Counts are exact over all documents,
-    up to 64-bit hashes; rows that repeat are scored each.
+    down. A null text or one without words has 0 words and the score 0. Counts are over all documents, exact
+    up to hashes of log2(words) + 30 bits (64 at most), which give an n-gram another's count with a chance of
+    2^-30 or so. Rows that repeat are scored each.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / max(BLOCK_BYTES, math.isqrt(size * LEAST_ROW))))
-    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block")
-    dealt = docs.select(place, "doc_id", "text")
-    asked = scratch.keep(dealt.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(_ask(order, blocks), "table bigint, block bigint, words bigint, data binary"))
-    total = asked.where("table = 0").agg(F.sum("words")).first()[0] or 0
-    answers = scratch.keep(asked.select("table", "block", "data").repartition(blocks, "table").sortWithinPartitions("table", "block").mapInArrow(_answer, "block bigint, table bigint, data binary"))
-    scratch.drop(spark, asked)
-    texts = dealt.select("block", F.lit(1).alias("side"), F.lit(0).cast("bigint").alias("table"), F.lit(None).cast("binary").alias("data"), "doc_id", "text")
-    both = answers.select("block", F.lit(0).alias("side"), "table", "data", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("text")).union(texts)
-    return both.repartition(blocks, "block").sortWithinPartitions("block", "side", "table").mapInArrow(_score(order, least, alpha, int(total)), "doc_id bigint, n_words bigint, log_score double, n_backoffs bigint")
+    size, total = docs.agg(F.sum(F.octet_length("text")), F.sum(n_words(F.col("text")))).first()
+    size, total = size or 0, total or 0
+    block_bytes = max(BLOCK_BYTES, math.isqrt(size * LEAST_ROW))
+    tables, bits = max(1, math.ceil(size / block_bytes)), min(64, max(1, total).bit_length() + 30)
+    asked = docs.mapInArrow(_ask(order, tables, block_bytes, bits), "table bigint, block bigint, texts binary, data binary")
+    answers = asked.repartition(tables, "table").sortWithinPartitions("table", "block").mapInArrow(_answer, "block bigint, table bigint, texts binary, data binary")
+    blocks = answers.repartition(tables, "block").sortWithinPartitions("block", "table")
+    return blocks.mapInArrow(_score(order, least, alpha, int(total), bits), "doc_id bigint, n_words bigint, log_score double, n_backoffs bigint")

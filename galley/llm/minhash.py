@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from galley.llm import scratch, textvec
 from galley.operators.graph import connected_components
 
-#: Members of a unit of confirmation on either side.
-TILE = 64
+#: Members of a unit of confirmation: beside a leader, and on either side of a tile. Tiles hold at most
+#: twice as many sets at a time; smaller ones would send a text more often.
+TILE, WIDE_TILE = 64, 256
 
 
 def bands_for(threshold: float, miss: float = 1e-7, places: int = 256) -> tuple[int, int]:
@@ -184,7 +185,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
         .where("of_most < n and n > 2")  # of two members, the only pair is refuted
         .groupBy("n", "sig")
         .agg(F.min(F.struct("band", "h", "most", (F.col("n") - F.col("of_most")).alias("over"))).alias("m"))  # buckets with the same members count once
-        .select("m.band", "m.h", "m.most", F.ceil(F.col("n") / TILE).alias("tiles"), F.ceil(F.col("m.over") / TILE).alias("over"))
+        .select("m.band", "m.h", "m.most", F.ceil(F.col("n") / WIDE_TILE).alias("tiles"), F.ceil(F.col("m.over") / WIDE_TILE).alias("over"))
     )
     left = known.join(mixed, ["band", "h"])
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))

@@ -115,7 +115,7 @@ def _ask(order: int, tables: int, block_bytes: int, bits: int):
             cut = np.searchsorted(_table_of(keys, tables, bits), np.arange(tables + 1))
             texts = _pack_texts(pa.concat_arrays(ids), held)
             number, size, ids, held, parts = number + 1, 0, [], [], []
-            home = number % tables
+            home = hash((context.partitionId(), number)) % tables
             for t, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
                 data = _squeeze(keys[a:b], counts[a:b])
                 yield pa.RecordBatch.from_arrays([pa.array([t], pa.int64()), pa.array([block], pa.int64()), pa.array([texts if t == home else None], pa.binary()), pa.array([data], pa.binary())], names=["table", "block", "texts", "data"])

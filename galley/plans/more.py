@@ -81,10 +81,10 @@ SELECT doc_id, line, md5(string_agg(word, ' ' ORDER BY run, k)) AS visual FROM o
 """)
 def rtl_runs_reversed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of right-to-left words in visual order; capitals stand for such a script."""
-    w = V.words(spark, sf_dir).where("page = 1").withColumn("rtl", F.col("word").rlike("^[A-Z]"))
-    made = S.islands(w, ["doc_id", "line"], ["slot"], lambda prev: F.col("rtl") != prev("rtl"), "run")
+    w = V.words(spark, sf_dir).withColumn("rtl", F.col("word").rlike("^[A-Z]"))
+    made = S.islands(w, ["doc_id", "page", "line"], ["slot"], lambda prev: F.col("rtl") != prev("rtl"), "run")
     words = F.array_sort(F.collect_list(F.struct("run", F.when(F.col("rtl"), -F.col("slot")).otherwise(F.col("slot")).alias("k"), "word")))
-    return made.groupBy("doc_id", "line").agg(F.md5(F.array_join(F.transform(words, lambda s: s["word"]), " ")).alias("visual"))
+    return made.groupBy("doc_id", "page", "line").agg(F.md5(F.array_join(F.transform(words, lambda s: s["word"]), " ")).alias("visual"))
 
 
 @query(rf"""

@@ -30,7 +30,7 @@ SELECT w.doc_id, w.i, min(r.idx) AS link FROM words w JOIN rects r ON (w.x0 + w.
 """)
 def char_in_rect_first_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first link whose rectangle holds a glyph's centre."""
-    points = V.words(spark, sf_dir).where("page = 1").select("doc_id", "i", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
+    points = V.words(spark, sf_dir).select("doc_id", "i", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
     return X.points_in_boxes(points, rects(spark, sf_dir), [], "cx", "cy").groupBy("doc_id", "i").agg(F.min("idx").alias("link"))
 
 
@@ -43,10 +43,10 @@ SELECT l.doc_id, l.line, r.idx, (least(l.x1, r.x1) - greatest(l.x0, r.x0)) * (le
 def lines_in_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that a rectangle covers by more than a share of their area."""
     pre = lambda df, p: df.select(*[F.col(c).alias(f"{p}{c}") if c in ("x0", "y0", "x1", "y1") else F.col(c) for c in df.columns])
-    lines = pre(V.lines(spark, sf_dir).where("page = 1").select("doc_id", "line", "x0", "y0", "x1", "y1"), "l_")
+    lines = pre(V.lines(spark, sf_dir).select("doc_id", "page", "line", "x0", "y0", "x1", "y1"), "l_")
     both = X.boxes_over_boxes(lines, pre(rects(spark, sf_dir), "r_"), [])
     left = Box.of("l_")
-    return both.withColumn("overlap", left.overlap(Box.of("r_"))).where(F.col("overlap") > 0.2 * left.area()).select("doc_id", "line", "idx", "overlap")
+    return both.withColumn("overlap", left.overlap(Box.of("r_"))).where(F.col("overlap") > 0.2 * left.area()).select("doc_id", "page", "line", "idx", "overlap")
 
 
 @query(rf"""
@@ -55,7 +55,7 @@ SELECT doc_id, w.i, bool_or(r.idx IS NOT NULL) AS underlined FROM words w LEFT J
 """)
 def underline_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans just above a rule (the lower edge of a rectangle) that reaches over them."""
-    spans = V.words(spark, sf_dir).where("page = 1")
+    spans = V.words(spark, sf_dir)
     rules = rects(spark, sf_dir).select("idx", F.col("x0").alias("a"), F.col("x1").alias("b"), F.col("y1").alias("y"))
     rules = rules.withColumn("row", F.explode(F.sequence(F.floor((F.col("y") - 5) / 8), F.floor((F.col("y") + 1) / 8))))
     hit = spans.select("doc_id", "i", "x0", "x1", "baseline", F.floor(F.col("baseline") / 8).alias("row")).join(rules, "row")
@@ -109,7 +109,7 @@ SELECT doc_id, i, CASE WHEN cx BETWEEN 71 AND 201 THEN 0 WHEN cx BETWEEN 199 AND
 """)
 def cell_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first cell of a lattice whose bands hold a line's centre."""
-    w = V.words(spark, sf_dir).where("page = 1")
+    w = V.words(spark, sf_dir)
     return w.select("doc_id", "i", X.first_band((F.col("x0") + F.col("x1")) / 2, [72.0, 200.0, 350.0, 500.0]).alias("col"), X.first_band((F.col("y0") + F.col("y1")) / 2, [72.0, 300.0, 600.0]).alias("row"))
 
 

@@ -138,7 +138,7 @@ def edge_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def figure_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drawings united with neighbours until none are near; the boxes grow, so it takes rounds."""
     k = F.col("p_partkey")
-    d = V.table(spark, sf_dir, "part").where("p_size <= 20").select(k.alias("id"), (F.col("p_size") % 5).alias("page"), (10.0 * (k % 97)).alias("x0"), (10.0 * (k % 89)).alias("y0"))
+    d = V.table(spark, sf_dir, "part").select(k.alias("id"), (F.col("p_size") % 5).alias("page"), (10.0 * (k % 97)).alias("x0"), (10.0 * (k % 89)).alias("y0"))
     return X.merged_boxes(d.withColumns({"x1": F.col("x0") + 8, "y1": F.col("y0") + 8}), ["page"], "id", 6.0, keep)
 
 

@@ -207,7 +207,7 @@ SELECT id, min(root) AS component FROM r GROUP BY id
 def touching_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drawings (8 by 8) joined by chains of neighbours at most 6 points apart."""
     k = F.col("p_partkey")
-    d = V.table(spark, sf_dir, "part").where("p_size <= 20").select(k.alias("id"), (F.col("p_size") % 5).alias("page"), (10.0 * (k % 97)).alias("x0"), (10.0 * (k % 89)).alias("y0"))
+    d = V.table(spark, sf_dir, "part").select(k.alias("id"), (F.col("p_size") % 5).alias("page"), (10.0 * (k % 97)).alias("x0"), (10.0 * (k % 89)).alias("y0"))
     d = keep(d.withColumns({"x1": F.col("x0") + 8, "y1": F.col("y0") + 8}))
     return X.touching(d, ["page"], "id", 6.0, keep)
 

@@ -87,3 +87,51 @@ def test_every_page_rtl_runs(spark, pages):
                 out += list(run)[::-1] if rtl else list(run)
             want.add((d, page, line, hashlib.md5(" ".join(out).encode()).hexdigest()))
     assert found(spark, "rtl_runs_reversed", sf, "doc_id", "page", "line", "visual") == want
+
+
+def brute_components(boxes):
+    """{id: smallest id of its component} of {id: (page, x0, y0, x1, y1)} joined at 6 points, by union-find over all pairs."""
+    up = {k: k for k in boxes}
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a, (p, ax0, ay0, ax1, ay1) in boxes.items():
+        for b, (q, bx0, by0, bx1, by1) in boxes.items():
+            if a < b and p == q and ax0 - 6 <= bx1 and bx0 - 6 <= ax1 and ay0 - 6 <= by1 and by0 - 6 <= ay1:
+                ra, rb = sorted((root(a), root(b)))
+                up[rb] = ra
+    return {k: root(k) for k in boxes}
+
+
+@pytest.fixture(scope="module")
+def parts(spark, tmp_path_factory):
+    """Parts of every size, 300 at random and a chain along both axes whose sizes lie on both sides of 20."""
+    sf, rng = str(tmp_path_factory.mktemp("parts")), random.Random(5)
+    rows = {k: rng.randint(1, 50) for k in rng.sample(range(100, 8000), 300)} | {k: 5 * (k % 2 and 2 or 9) for k in range(1, 30)}
+    spark.createDataFrame(list(rows.items()), "p_partkey bigint, p_size int").write.parquet(f"{sf}/part.parquet")
+    return sf, {k: (s % 5, 10.0 * (k % 97), 10.0 * (k % 89), 10.0 * (k % 97) + 8, 10.0 * (k % 89) + 8) for k, s in rows.items()}
+
+
+def test_every_drawing_has_its_component(spark, parts):
+    sf, boxes = parts
+    want = brute_components(boxes)
+    assert all(want[k] == 1 for k in range(1, 30))
+    assert found(spark, "touching_components", sf, "id", "component") == set(want.items())
+
+
+def test_every_drawing_is_in_a_figure(spark, parts):
+    sf, boxes = parts
+    now = {k: (*b, 1) for k, b in boxes.items()}
+    while True:
+        groups = {}
+        for k, c in brute_components({k: b[:5] for k, b in now.items()}).items():
+            groups.setdefault(c, []).append(now[k])
+        nxt = {c: (g[0][0], min(b[1] for b in g), min(b[2] for b in g), max(b[3] for b in g), max(b[4] for b in g), sum(b[5] for b in g)) for c, g in groups.items()}
+        if len(nxt) == len(now):
+            break
+        now = nxt
+    assert sum(b[5] for b in now.values()) == len(boxes)
+    assert found(spark, "figure_merge", sf, "id", "page", "x0", "y0", "x1", "y1", "n") == {(k, *b) for k, b in now.items()}

@@ -173,10 +173,10 @@ WITH f AS (SELECT l_suppkey % 7 AS backend, l_orderkey AS doc, count(*) AS n_dra
 SELECT a.doc, a.n_draws, b.n_draws AS other, a.n_draws / greatest(1, b.n_draws) AS ratio FROM f a JOIN f b ON a.doc = b.doc AND a.backend = 0 AND b.backend = 1
 """)
 def backend_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of two backends' drawings, document by document."""
-    f = V.table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 7).alias("backend"), F.col("l_orderkey").alias("doc")).agg(F.count("*").alias("n_draws"))
+    """Counts of two backends' drawings, document by document; a backend that has none of a document has a null count."""
+    f = V.table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 2).alias("backend"), F.col("l_orderkey").alias("doc")).agg(F.count("*").alias("n_draws"))
     a, b = f.where("backend = 0").select("doc", "n_draws"), f.where("backend = 1").select("doc", F.col("n_draws").alias("other"))
-    return a.join(b, "doc").withColumn("ratio", F.col("n_draws") / F.greatest(F.lit(1), F.col("other")))
+    return a.join(b, "doc", "full_outer").withColumn("ratio", F.col("n_draws") / F.when(F.col("other").isNotNull(), F.greatest(F.lit(1), F.col("other"))))
 
 
 @query(rf"""

@@ -135,3 +135,16 @@ def test_every_drawing_is_in_a_figure(spark, parts):
         now = nxt
     assert sum(b[5] for b in now.values()) == len(boxes)
     assert found(spark, "figure_merge", sf, "id", "page", "x0", "y0", "x1", "y1", "n") == {(k, *b) for k, b in now.items()}
+
+
+def test_every_row_is_probed(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(rng.randint(1, 60), rng.randint(1, 14)) for _ in range(150)] + [(100, 2), (100, 4), (101, 9)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_suppkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = set()
+    for doc in {d for d, _ in rows}:
+        a, b = (sum(d == doc and s % 2 == k for d, s in rows) or None for k in (0, 1))
+        want.add((doc, a, b, a / b if a and b else None))
+    got = found(spark, "backend_probe", str(tmp_path), "doc", "n_draws", "other", "ratio")
+    assert got == want and {(100, 2, None, None), (101, None, 1, None)} <= got
+    assert sum((n or 0) + (m or 0) for _, n, m, _ in got) == len(rows)

@@ -184,7 +184,7 @@ def _score(order: int, least: int, alpha: float, total: int, bits: int):
                 score = np.where(known, np.log(np.maximum(c[m], 1) / np.maximum(before, 1)), score + np.where(has, math.log(alpha), 0.0))
                 backed = np.where(known, 0, backed + has)
             sums = [np.bincount(of, weights=x, minlength=texts.n) for x in (score, backed)]
-            yield pa.RecordBatch.from_arrays([ids.slice(row, texts.n), pa.array(n.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1].astype(np.int64))], names=["doc_id", "n_words", "log_score", "n_backoffs"])
+            yield pa.RecordBatch.from_arrays([ids.slice(row, texts.n), pa.array(n.astype(np.int64)), pa.array(sums[0].astype(np.float64)), pa.array(sums[1].astype(np.int64))], names=["doc_id", "n_words", "log_score", "n_backoffs"])
             row += texts.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +220,7 @@ def score(docs: DataFrame, order: int = 3, least: int = 2, alpha: float = 0.4) -
     size, total = docs.agg(F.sum(F.octet_length("text")), F.sum(n_words(F.col("text")))).first()
     size, total = size or 0, total or 0
     block_bytes = max(BLOCK_BYTES, math.isqrt(size * LEAST_ROW))
-    tables, bits = max(1, math.ceil(size / block_bytes)), min(64, max(1, total).bit_length() + 30)
+    tables, bits = max(1, math.ceil(size / block_bytes)), min(64, max(2, total).bit_length() + 30)
     asked = docs.mapInArrow(_ask(order, tables, block_bytes, bits), "table bigint, block bigint, texts binary, data binary")
     answers = asked.repartition(tables, "table").sortWithinPartitions("table", "block").mapInArrow(_answer, "block bigint, table bigint, texts binary, data binary")
     blocks = answers.repartition(tables, "block").sortWithinPartitions("block", "table")

@@ -209,3 +209,10 @@ def test_pieces_match_the_library(spark, doc_table):
     assert got == [(1, [], "", "x"), (2, lib.encode("a b"), "a b", "x"), (2, lib.encode("a b"), "a b", "x")]
     assert [x.text for x in piece.decode(rows.where("doc_id = 2").select("doc_id", "ids"), path).collect()] == ["a b"] * 2
     assert [x.ids for x in rows.where("doc_id = 0").collect()] == [None]
+
+
+def test_ngram_scores_without_words(spark, doc_table):
+    got = ngram.score(doc_table([(1, None, "s"), (2, "", "s"), (3, " \t\n", "s")]), order=3).collect()
+    assert sorted((r.doc_id, r.n_words, r.log_score, r.n_backoffs) for r in got) == [(i, 0, 0.0, 0) for i in (1, 2, 3)]
+    got = ngram.score(doc_table([(1, None, "s"), (2, " one ", "s")]), order=3).collect()
+    assert sorted((r.doc_id, r.n_words, r.log_score, r.n_backoffs) for r in got) == [(1, 0, 0.0, 0), (2, 1, 0.0, 0)]

@@ -19,8 +19,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that ten documents have go; n_chars follows. A document none of whose lines stay keeps its row."""
-    out = linededup.drop_repeated_lines(docs, at_least=10).select(*docs.columns)
+    """Lines that ten documents have go, but from the first of them; n_chars follows. A document none of whose lines stay keeps its row."""
+    out = linededup.drop_repeated_lines(docs, at_least=10, keep_first=True).select(*docs.columns)
     return out.withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 

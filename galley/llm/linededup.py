@@ -41,16 +41,17 @@ def keys(text: Column, min_chars: int) -> Column:
 
 
 class LineIndex:
-    """Runs by level, of documents added batch by batch."""
+    """Runs by level, of documents added batch by batch; with firsts they hold the smallest doc_id of each key too."""
 
-    def __init__(self, spark: SparkSession, min_chars: int = 1, fanout: int = 2):
-        self.spark, self.min_chars, self.fanout = spark, min_chars, fanout
+    def __init__(self, spark: SparkSession, min_chars: int = 1, fanout: int = 2, firsts: bool = False):
+        self.spark, self.min_chars, self.fanout, self.firsts = spark, min_chars, fanout, firsts
         self.levels: list[list[DataFrame]] = []
 
     def add(self, docs: DataFrame) -> None:
         """Adds a run of the batch's own lines; a document counts once for a key."""
-        own = docs.select(F.explode(F.array_distinct(keys(F.col("text"), self.min_chars))).alias("k")).where("k is not null").select("k.*")
-        self._put(0, own.groupBy("h1", "h2").agg(F.count("*").alias("n")))
+        first = [F.col("doc_id").alias("first")] if self.firsts else []
+        own = docs.select(*first, F.explode(F.array_distinct(keys(F.col("text"), self.min_chars))).alias("k")).where("k is not null").select("k.*", *(["first"] if self.firsts else []))
+        self._put(0, own.groupBy("h1", "h2").agg(F.count("*").alias("n"), *self._first()))
 
     def _put(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
@@ -61,18 +62,20 @@ class LineIndex:
             self._put(level + 1, self._merged(old))
             scratch.drop(self.spark, *old)
 
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.union, runs).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+    def _first(self) -> list[Column]:
+        return [F.min("first").alias("first")] if self.firsts else []
+
+    def _merged(self, runs: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.union, runs).groupBy("h1", "h2").agg(F.sum("n").alias("n"), *self._first())
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
     def found_in(self, at_least: int) -> DataFrame:
-        """(h1, h2) of keys that at least so many documents have."""
+        """(h1, h2), and first if held, of keys that at least so many documents have."""
         runs = self.runs()
         all_ = runs[0] if len(runs) == 1 else self._merged(runs)
-        return all_.where(F.col("n") >= at_least).select("h1", "h2")
+        return all_.where(F.col("n") >= at_least).drop("n")
 
     def free(self) -> None:
         scratch.drop(self.spark, *self.runs())
@@ -82,11 +85,16 @@ class LineIndex:
 def without_lines(docs: DataFrame, gone: DataFrame, min_chars: int = 1) -> DataFrame:
     """docs with __n_lines (before), __n_dropped, and text without the lines whose key's hash is in gone; a null text becomes an empty one.
 
+    Where gone has a column first, the lines of the documents with that doc_id stay.
+
     The hashes, not the texts, go through the join with gone; a document's row then meets the places of its lines to drop.
     """
     me = [F.xxhash64("doc_id", "text").alias("__r1"), F.xxhash64("text", "doc_id").alias("__r2")]
-    placed = docs.select(*me, F.posexplode(keys(F.col("text"), min_chars)).alias("at", "k")).where("k is not null").select("__r1", "__r2", "at", "k.h1", "k.h2")
-    out = placed.join(gone, ["h1", "h2"], "left_semi").groupBy("__r1", "__r2").agg(F.collect_set("at").alias("__out"))
+    firsts = "first" in gone.columns
+    doc = [F.col("doc_id").alias("__doc")] if firsts else []
+    placed = docs.select(*me, *doc, F.posexplode(keys(F.col("text"), min_chars)).alias("at", "k")).where("k is not null").select("__r1", "__r2", *(["__doc"] if firsts else []), "at", "k.h1", "k.h2")
+    hit = placed.join(gone, ["h1", "h2"]).where(~F.col("__doc").eqNullSafe(F.col("first"))) if firsts else placed.join(gone, ["h1", "h2"], "left_semi")
+    out = hit.groupBy("__r1", "__r2").agg(F.collect_set("at").alias("__out"))
     rows = docs.withColumns({"__r1": me[0], "__r2": me[1]}).join(out, ["__r1", "__r2"], "left")
     split = lines(F.col("text"))
     kept = F.when(F.col("__out").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(F.filter(split, lambda line, i: ~F.array_contains(F.col("__out"), i)), "\n"))
@@ -94,15 +102,16 @@ def without_lines(docs: DataFrame, gone: DataFrame, min_chars: int = 1) -> DataF
     return result.select(*[F.col("__kept").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], "__n_lines", "__n_dropped")
 
 
-def drop_repeated_lines(docs: DataFrame, at_least: int = 10, min_chars: int = 1, batches: int = 2) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, at_least: int = 10, min_chars: int = 1, batches: int = 2, keep_first: bool = False) -> DataFrame:
     """docs with text freed of the lines that at_least documents have, and __n_lines and __n_dropped.
 
     Lines are what \\n separates (a null or empty text has one empty line); a line's key is the line
     without white space at its ends and with A-Z lower-cased; a key of fewer than min_chars characters
     is never dropped. Every row counts as a document, repeated ones too. The documents come as batches
-    by a hash; each adds its run to an index, and then all are filtered by what the index holds.
+    by a hash; each adds its run to an index, and then all are filtered by what the index holds. With
+    keep_first the document of the smallest doc_id that has a line keeps it (all rows of that doc_id do).
     """
-    index = LineIndex(docs.sparkSession, min_chars)
+    index = LineIndex(docs.sparkSession, min_chars, firsts=keep_first)
     for i in range(batches):
         index.add(docs.where(F.pmod(F.xxhash64("doc_id", "n_chars") if "n_chars" in docs.columns else F.xxhash64("doc_id"), F.lit(batches)) == i))
     gone = scratch.keep(index.found_in(at_least))

@@ -17,3 +17,11 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
             assert docs.columns == columns, name
     assert 0.5 * counts[0] < counts[1] <= counts[0] and counts[2] == counts[1] and counts[3] < counts[2]
     assert docs.where("decoded != text").count() == 0 and docs.where("n_tokens > 0").count() > 0
+
+
+def test_a_group_of_copies_keeps_one_text(spark, doc_table):
+    copies, line = "the only copy of this text\nand its second line", "a line that all have"
+    rows = [(i, copies, "s") for i in range(5, 17)] + [(i, f"{line.upper() if i % 2 else line}\nown {i}", "s") for i in range(20, 32)] + [(40, None, "s")]
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, doc_table(rows), SF).collect()}
+    want = {i: copies if i == 5 else "" for i in range(5, 17)} | {i: f"{line}\nown 20" if i == 20 else f"own {i}" for i in range(20, 32)} | {40: ""}
+    assert got == {i: (t, len(t)) for i, t in want.items()}

@@ -2,8 +2,8 @@
 
 An index is a set of runs, tables of (h1, h2, n) sorted by hash: n documents have a line whose key has
 that 128-bit hash. A batch of documents adds a run to level 0; when a level holds `fanout` runs they are
-merged into one of the next level. Lines of a batch are then kept or dropped by a merge (anti-)join of
-their hashes with what the runs hold.
+merged into one of the next level. When all batches are in, lines are kept or dropped by a join of their
+hashes with the frequent ones of all runs; a batch is not joined with the runs when it is added.
 """
 
 from __future__ import annotations

@@ -8,7 +8,6 @@ multiple of a slice whatever a batch holds (a single longer text forms a slice o
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,8 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[ord("A") : ord("Z") + 1] += 32
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-_BYTE = np.random.Generator(np.random.PCG64(20250101)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+#: Keeps the first n of eight bytes, for n = 0..8.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def u64(x: int) -> np.uint64:
@@ -41,13 +41,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(8)
-def _powers(bits: int) -> np.ndarray:
-    p = np.full(1 << bits, 0xD6E8FEB86659FD93, np.uint64)
-    p[0] = 1
-    return np.multiply.accumulate(p)
-
-
 class Texts:
     """buf: the bytes of n texts one after another; off: n + 1 offsets; null: of each text."""
 
@@ -91,20 +84,27 @@ class Texts:
     def text_of(self, starts: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.off, starts, "right") - 1
 
+    def _eights(self, fold: bool) -> np.ndarray:
+        """The eight bytes that begin at each place (zeros behind the end) as one integer."""
+        data = np.zeros(len(self.buf) + 16, np.uint8)
+        data[: len(self.buf)] = FOLD[self.buf] if fold else self.buf
+        return np.ndarray((len(self.buf) + 9,), "<u8", data, strides=(1,))
+
     def hashes(self, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-        """A 64-bit hash of each span of bytes; the spans may be empty, and may overlap."""
-        size = ends - starts
-        full = np.flatnonzero(size > 0)
-        out = np.full(len(starts), 0x1234567, np.uint64)
-        if len(full):
-            n = size[full]
+        """A 64-bit hash of each span of bytes; the spans may be empty, and may overlap.
+
+        The sum of a bijective mix of each eight bytes and their place, which no repetitive text makes equal.
+        """
+        size, eights = ends - starts, self._eights(fold)
+        out = mix((eights[starts] & _FIRST[np.minimum(size, 8)]) + _MUL) + size.astype(np.uint64) * _MUL
+        long = np.flatnonzero(size > 8)
+        if len(long):
+            n = (size[long] - 1) >> 3
             at = np.cumsum(n) - n
-            place = np.arange(int(n.sum())) - np.repeat(at, n)
-            data = self.buf[place + np.repeat(starts[full], n)]
-            if fold:
-                data = FOLD[data]
-            power = _powers(max(6, int(n.max() - 1).bit_length()))
-            out[full] = np.add.reduceat(_BYTE[data] * power[place], at) + n.astype(np.uint64) * _MUL
+            j = np.arange(1, int(n.sum()) + 1) - np.repeat(at, n)
+            place = np.repeat(starts[long], n) + 8 * j
+            rest = np.minimum(np.repeat(ends[long], n) - place, 8)
+            out[long] += np.add.reduceat(mix((eights[place] & _FIRST[rest]) + mix(j.astype(np.uint64))), at)
         return mix(out)
 
 

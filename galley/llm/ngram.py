@@ -2,11 +2,14 @@
 
 Documents are taken in blocks, runs of rows of an input partition. A block's n-grams, of every order up to
 the longest, are exploded and pre-aggregated to distinct hashes with counts; these go to the count tables,
-which are partitioned by hash; each table sums what the blocks sent and answers every block with the corpus
-counts of its own n-grams, in the order asked; and the block joins the answers to its n-grams again and sums
-per document. A block sends an n-gram once, however often it has it, so common n-grams weigh no more than
-rare ones. Its texts travel with its questions and answers, compressed, so that they are read once and
-nothing depends on blocks being cut alike twice. Rows are packed arrays of a bounded size.
+which are partitioned by ranges of the hash; each table sums what the blocks sent and answers every block with
+the corpus counts of its own n-grams, in the order asked; and the block joins the answers to its n-grams again
+and sums per document. A block sends an n-gram once, however often it has it, so common n-grams weigh no more
+than rare ones. Its texts travel with its questions and answers, compressed, so that they are read once and
+nothing depends on blocks being cut alike twice.
+
+The tables' rows are packed: sorted hashes as differences, 3 to 4 bytes each. One row of Spark's for each
+(block, n-gram) would be plainer; README.md has the figures why it is not done.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from galley.llm.mixture import n_words
 #: Bytes of text in a block, about, where the corpus is small. There are as many tables as blocks, and a block sends
 #: a row to each, so blocks grow with the square root of the corpus: rows then hold LEAST_ROW bytes of text or more.
 BLOCK_BYTES = 12 << 20
-LEAST_ROW = 8192
+LEAST_ROW = 2048
 
 
 def _grams(texts: textvec.Texts, order: int, bits: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -83,49 +86,47 @@ def _table_of(keys: np.ndarray, tables: int, bits: int) -> np.ndarray:
     return ((keys >> np.uint64(bits - 32)) * np.uint64(tables) >> np.uint64(32)).astype(np.int64)
 
 
-def _distinct(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and how often each occurs."""
+    keys = np.sort(keys)
     new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     return keys[new], np.diff(np.append(new, len(keys)))
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys of all parts, sorted, with their summed counts."""
-    keys, counts = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in parts)]), np.concatenate([np.zeros(0, np.int64), *(c for _, c in parts)])
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts the keys, and the places in it at which another key begins."""
     order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[new], np.add.reduceat(counts, new) if len(new) else counts
+    keys = keys[order]
+    return order, np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
 
 
-def _ask(order: int, tables: int, block_bytes: int, bits: int):
-    """Rows (table, block, texts, data): to each table a block's keys and counts, and to one of them its texts."""
+def _ask(order: int, tables: int, block_bytes: int, bits: int, spread: int):
+    """Rows (table, block, home, texts, data): to each table a block's keys and counts, and to one of them its texts. home numbers the task that the block's answers go to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         number, size = 0, 0
         ids: list[pa.Array] = []
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        parts: list[np.ndarray] = []
 
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal number, size, ids, held, parts
             block = context.partitionId() << 32 | number
-            keys, counts = _summed(parts)
+            home = context.partitionId() * spread + number
+            keys, counts = _distinct(np.concatenate(parts) if parts else np.zeros(0, np.uint64))
             cut = np.searchsorted(_table_of(keys, tables, bits), np.arange(tables + 1))
             texts = _pack_texts(pa.concat_arrays(ids), held)
             number, size, ids, held, parts = number + 1, 0, [], [], []
-            home = hash((context.partitionId(), number)) % tables
             for t, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
                 data = _squeeze(keys[a:b], counts[a:b])
-                yield pa.RecordBatch.from_arrays([pa.array([t], pa.int64()), pa.array([block], pa.int64()), pa.array([texts if t == home else None], pa.binary()), pa.array([data], pa.binary())], names=["table", "block", "texts", "data"])
+                yield _row(t, block, home, texts if t == home % tables else None, data)
 
         for batch in batches:
             for row, texts in textvec.slices(batch.column("text")):
                 ids.append(batch.column("doc_id").slice(row, texts.n))
                 held.append((texts.buf.copy(), texts.off))
-                grams = _grams(texts, order, bits)[2]
-                parts.append(_distinct([g[g != 0] for g in grams]))
+                parts += [g[g != 0] for g in _grams(texts, order, bits)[2]]
                 size += len(texts.buf)
                 if size >= block_bytes:
                     yield from close()
@@ -135,27 +136,41 @@ def _ask(order: int, tables: int, block_bytes: int, bits: int):
     return run
 
 
+_ROW = "table bigint, block bigint, home bigint, texts binary, data binary"
+
+
+def _row(table: int, block: int, home: int, texts: bytes | None, data: bytes | None) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((table, block, home, texts, data), kinds, strict=True)], names=["table", "block", "home", "texts", "data"])
+
+
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tables in order: the counts of all blocks are summed, and each block gets them for the keys that it sent."""
     table, blocks, held = None, [], []
 
     def sums() -> Iterator[pa.RecordBatch]:
-        keys, total = _summed([_expand(x) for x in held])
-        for block, x in zip(blocks, held, strict=True):
-            got = total[np.searchsorted(keys, _expand(x)[0])].astype("<u8")
-            data = zstandard.ZstdCompressor(level=1).compress(got.view(np.uint8).reshape(-1, 8).T.copy().tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([table], pa.int64()), pa.array([None], pa.binary()), pa.array([data], pa.binary())], names=["block", "table", "texts", "data"])
+        sent = [_expand(x) for x in held]
+        cut = np.cumsum([0, *(len(k) for k, _ in sent)])
+        order, new = _groups(np.concatenate([k for k, _ in sent]))
+        counts = np.concatenate([c for _, c in sent])[order]
+        del sent
+        total = np.empty(len(order), "<u8")
+        if len(new):
+            total[order] = np.repeat(np.add.reduceat(counts, new), np.diff(np.append(new, len(order))))
+        for i, (block, home) in enumerate(blocks):
+            planes = total[cut[i] : cut[i + 1]].view(np.uint8).reshape(-1, 8).T.copy().tobytes()
+            yield _row(table, block, home, None, zstandard.ZstdCompressor(level=1).compress(planes))
 
     for batch in batches:
-        for t, b, texts, x in zip(*(batch.column(c).to_pylist() for c in ("table", "block", "texts", "data")), strict=True):
+        for t, b, home, texts, x in zip(*(batch.column(c).to_pylist() for c in ("table", "block", "home", "texts", "data")), strict=True):
             if table is not None and t != table:
                 yield from sums()
                 blocks, held = [], []
             table = t
-            blocks.append(b)
+            blocks.append((b, home))
             held.append(x)
             if texts is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([-1], pa.int64()), pa.array([texts], pa.binary()), pa.array([None], pa.binary())], names=["block", "table", "texts", "data"])
+                yield _row(-1, b, home, texts, None)
     if held:
         yield from sums()
 
@@ -165,17 +180,25 @@ def _score(order: int, least: int, alpha: float, total: int, bits: int):
 
     def scored(packed: bytes, answers: list[bytes]) -> Iterator[pa.RecordBatch]:
         ids, slices = _unpack_texts(packed)
-        parts = []
-        for texts in slices:
-            parts.append(_distinct([g[g != 0] for g in _grams(texts, order, bits)[2]]))
-        keys, _ = _summed(parts)
-        del parts
+        exploded = [_grams(texts, order, bits) for texts in slices]
+        flat = np.concatenate([g for _, _, grams in exploded for g in grams])
+        none = len(flat) - int(np.count_nonzero(flat))
+        by_key, new = _groups(flat)
+        del flat
+        new = new[1:] if none else new
         planes = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8) for x in answers]
-        counts = np.concatenate([np.zeros(0, np.int64), *(np.ascontiguousarray(p.reshape(8, -1).T).view("<u8").ravel().astype(np.int64) for p in planes)])
-        row = 0
-        for texts in slices:
-            of, n, grams = _grams(texts, order, bits)
-            c = [np.where(g != 0, counts[np.minimum(np.searchsorted(keys, g), max(len(keys) - 1, 0))], 0) if len(keys) else g.astype(np.int64) for g in grams]
+        answer = np.concatenate([np.zeros(0, np.int64), *(np.ascontiguousarray(p.reshape(8, -1).T).view("<i8").ravel() for p in planes)])
+        del planes
+        # The join: the answers are in the order of the distinct keys.
+        counts = np.zeros(len(by_key), np.int64)
+        counts[by_key[none:]] = np.repeat(answer, np.diff(np.append(new, len(by_key))))
+        del by_key, answer
+        row = at = 0
+        for i, texts in enumerate(slices):
+            of, n, grams = exploded[i]
+            exploded[i] = None
+            c = [counts[at + m * len(of) : at + (m + 1) * len(of)] for m in range(order)]
+            at += order * len(of)
             score = np.log(np.maximum(c[0], 1) / max(total, 1))
             backed = np.zeros(len(of), np.int64)
             for m in range(1, order):  # a longer n-gram, where it is known, has the say
@@ -205,7 +228,7 @@ def _score(order: int, least: int, alpha: float, total: int, bits: int):
     return run
 
 
-def score(docs: DataFrame, order: int = 3, least: int = 2, alpha: float = 0.4) -> DataFrame:
+def score(docs: DataFrame, order: int = 3, least: int = 2, alpha: float = 0.4, block_bytes: int = BLOCK_BYTES, least_row: int = LEAST_ROW) -> DataFrame:
     """One row per document: doc_id, n_words, log_score and n_backoffs under the stupid-backoff model of all documents.
 
     Words are runs without [\\x20\\x09-\\x0D], A-Z lower-cased, of whole texts. A word's score is
@@ -214,14 +237,16 @@ def score(docs: DataFrame, order: int = 3, least: int = 2, alpha: float = 0.4) -
     has not; a single word's is its share of all words. log_score sums logarithms; n_backoffs sums the steps
     down. A null text or one without words has 0 words and the score 0. Counts are over all documents, exact
     up to hashes of log2(words) + 30 bits (64 at most), which give an n-gram another's count with a chance of
-    2^-30 or so. Rows that repeat are scored each.
+    2^-30 or so. Rows that repeat are scored each. block_bytes and
+    least_row size blocks and tables, not results.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size, total = docs.agg(F.sum(F.octet_length("text")), F.sum(n_words(F.col("text")))).first()
     size, total = size or 0, total or 0
-    block_bytes = max(BLOCK_BYTES, math.isqrt(size * LEAST_ROW))
+    block_bytes = max(block_bytes, math.isqrt(size * least_row))
     tables, bits = max(1, math.ceil(size / block_bytes)), min(64, max(2, total).bit_length() + 30)
-    asked = docs.mapInArrow(_ask(order, tables, block_bytes, bits), "table bigint, block bigint, texts binary, data binary")
-    answers = asked.repartition(tables, "table").sortWithinPartitions("table", "block").mapInArrow(_answer, "block bigint, table bigint, texts binary, data binary")
-    blocks = answers.repartition(tables, "block").sortWithinPartitions("block", "table")
+    spread = math.ceil(tables / max(1, docs.rdd.getNumPartitions()))
+    asked = docs.mapInArrow(_ask(order, tables, block_bytes, bits, spread), _ROW)
+    answers = asked.repartitionById(tables, F.col("table").cast("int")).sortWithinPartitions("table", "block").mapInArrow(_answer, _ROW)
+    blocks = answers.repartitionById(tables, F.pmod("home", F.lit(tables)).cast("int")).sortWithinPartitions("block", "table")
     return blocks.mapInArrow(_score(order, least, alpha, int(total), bits), "doc_id bigint, n_words bigint, log_score double, n_backoffs bigint")

@@ -40,6 +40,21 @@ def test_words_lines_and_hashes():
     assert len(set(by.values())) == len(by)
 
 
+def test_hashes_of_repetitive_spans_differ():
+    turn = str.maketrans("ab", "ba")
+    texts, t = [], "a"
+    while len(t) < 8192:
+        t += t.translate(turn)
+        texts += [t, t.translate(turn), t + "a", "a" * len(t), t[8:] + t[:8]]
+    r = random.Random(1)
+    texts += ["".join(r.choice("aAb") for _ in range(r.randint(0, 40))) for _ in range(3000)]
+    x = texts_of(texts)
+    by = {}
+    for t, h in zip(texts, x.hashes(x.off[:-1], x.off[1:])):
+        assert by.setdefault(t, h) == h
+    assert len(set(by.values())) == len(by)
+
+
 def test_slices_keep_rows_together():
     texts = ["ab" * 10, None, "c" * 50, "", "é" * 7]
     parts = list(textvec.slices(pa.chunked_array([pa.array(texts)]), most=30))
@@ -170,9 +185,10 @@ def test_mixing(spark, doc_table):
     assert mixture.mix(doc_table([])).count() == 0
 
 
-def test_ngram_scores_match_brute_force(spark, doc_table):
+@pytest.mark.parametrize("blocks", [{}, {"block_bytes": 64, "least_row": 1}])
+def test_ngram_scores_match_brute_force(spark, doc_table, blocks):
     texts = random_texts(30) + ["the cat sat", "The cat", None]
-    got = {r.doc_id: r for r in ngram.score(doc_table([(i, t, "s") for i, t in enumerate(texts)]), order=3).collect()}
+    got = {r.doc_id: r for r in ngram.score(doc_table([(i, t, "s") for i, t in enumerate(texts)]).repartition(3), order=3, **blocks).collect()}
     docs = [[w.translate({i: i + 32 for i in range(65, 91)}) for w in words(t)] for t in texts]
     count = {}
     for d in docs:

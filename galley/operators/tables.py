@@ -1,4 +1,4 @@
-"""Tables that cut lineage, in the shared folder that the session names."""
+"""Tables that cut lineage, in the folder that all machines of a cluster share."""
 
 from __future__ import annotations
 
@@ -9,21 +9,52 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a new temporary one where that is unset and the session is local."""
+    """The folder of spark.checkpoint.dir; where that is unset and the session is local (as in tests), a new temporary one that is then set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="galley-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: later reads survive the loss of executors. The files go when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def _new(spark: SparkSession) -> str:
+    """A path for a new table, which goes when the driver ends."""
+    path = f"{shared_folder(spark)}/galley/{uuid.uuid4().hex}"
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """df as a table of the shared folder: later reads survive the loss of executors, and its plan is not run again."""
+    path = _new(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def keep_sorted(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """df as a table of so many buckets by a hash of the keys, each sorted by them: joins of two such tables need no shuffle."""
+    spark, name = df.sparkSession, f"galley_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, *keys).sortBy(*keys).format("parquet").option("path", _new(spark)).saveAsTable(name)
+    return spark.table(name)
+
+
+def drop(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes the files of tables that keep() and keep_sorted() returned and nothing reads any more."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with underscores in front until no column in taken has it (in any case of letters)."""
+    seen, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in seen:
+            name = f"_{name}"
+        seen.add(name.lower())
+        out.append(name)
+    return out

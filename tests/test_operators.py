@@ -11,13 +11,31 @@ from galley.functions import text as T
 from galley.operators import assembly as A
 from galley.operators import fidelity as D
 from galley.operators import gate as Q
-from galley.operators.graph import connected_components
-from galley.operators.tables import keep
+from galley.operators.graph import connected_components, with_least
+from galley.operators.tables import free_names, keep, keep_sorted
 from galley.sinks import docx as sink
 from galley.sources import discovery
 from galley.sources import docx as source
 
 
+def test_hubs_are_dealt_out(spark):
+    edges = [(0, i) for i in range(1, 3000)] + [(2999, 5000), (5000, 5001), (7000, 7001), (7001, 6999)]
+    df = spark.createDataFrame(edges, "a bigint, b bigint").repartition(4)
+    got = {x.node: x.component for x in connected_components(df, keep).collect()}
+    assert got == {i: 0 for i in [*range(3000), 5000, 5001]} | {i: 6999 for i in (6999, 7000, 7001)}
+    low = with_least(df.select(F.col("a").alias("u"), F.col("b").alias("v")), len(edges))
+    assert sorted((x.u, x.v, x.m) for x in low.collect()) == sorted((a, b, min([a, *(y for x, y in edges if x == a)])) for a, b in edges)
+    spread = [x["count"] for x in low.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(spread) < 0.6 * len(edges)  # the hub's edges stay where they were
+
+
+def test_names_and_sorted_tables(spark):
+    assert free_names(["A", "_a", "b"], "a", "c", "c") == ["__a", "c", "_c"]
+    rows = [keep_sorted(spark.range(i, i + 50).select(F.col("id").alias("k"), F.lit(i).alias("n")), ["k"], 4) for i in (0, 25)]
+    both = rows[0].hint("merge").join(rows[1], "k")
+    assert both.count() == 25 and "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components_of_random_graphs(spark):
     r = random.Random(0)
     edges = [(r.randrange(80), r.randrange(80)) for _ in range(60)] + [(100 + i, 101 + i) for i in range(40)] + [(None, 3)]

@@ -1,23 +1,28 @@
 """Line deduplication by levelled sorted runs of line hashes, with DataFrame functions only.
 
-An index is a set of runs, tables of (h1, h2, n) sorted by hash: n documents have a line whose key has
-that 128-bit hash. A batch of documents adds a run to level 0; when a level holds `fanout` runs they are
-merged into one of the next level. When all batches are in, lines are kept or dropped by a join of their
-hashes with the frequent ones of all runs; a batch is not joined with the runs when it is added.
+An index holds runs: tables of (h1, h2, n) in buckets by hash, each bucket sorted, where n documents have a
+line whose key has that 128-bit hash. A batch of documents is merge-anti-joined with the runs held: keys that
+a run already counts in enough documents are settled and are not stored again; the others make the batch's own
+run, at level 0. Two runs of a level are compacted into one of the next by a merge join. Buckets and order are
+alike in all runs, so neither of the joins shuffles or deals a run anew.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.llm import scratch
+from galley.operators import tables as scratch
 
 #: White space stripped from a line to make its key: [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+KEY = ["h1", "h2"]
+
+
+def once(value: Column, then) -> Column:
+    """then(value), where value is computed once however often `then` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def lines(text: Column) -> Column:
@@ -40,42 +45,65 @@ def keys(text: Column, min_chars: int) -> Column:
     return F.transform(F.split(folded, "\n", -1), key)
 
 
+def distinct_keys(text: Column, min_chars: int) -> Column:
+    """The distinct hashes of a text's keys, by one sort: a text may have any number of lines."""
+    return once(F.sort_array(keys(text, min_chars)), lambda k: F.filter(k, lambda x, i: x.isNotNull() & ((i == 0) | ~x.eqNullSafe(F.get(k, i - 1)))))
+
+
 class LineIndex:
-    """Runs by level, of documents added batch by batch; with firsts they hold the smallest doc_id of each key too."""
+    """Runs by level, of documents (doc, text) added batch by batch; with firsts they hold the smallest doc of each key too."""
 
-    def __init__(self, spark: SparkSession, min_chars: int = 1, fanout: int = 2, firsts: bool = False):
-        self.spark, self.min_chars, self.fanout, self.firsts = spark, min_chars, fanout, firsts
-        self.levels: list[list[DataFrame]] = []
+    def __init__(self, spark: SparkSession, at_least: int = 10, min_chars: int = 1, firsts: bool = False):
+        self.spark, self.at_least, self.min_chars, self.firsts = spark, at_least, min_chars, firsts
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[DataFrame | None] = []
 
     def add(self, docs: DataFrame) -> None:
-        """Adds a run of the batch's own lines; a document counts once for a key."""
-        first = [F.col("doc_id").alias("first")] if self.firsts else []
-        own = docs.select(*first, F.explode(F.array_distinct(keys(F.col("text"), self.min_chars))).alias("k")).where("k is not null").select("k.*", *(["first"] if self.firsts else []))
-        self._put(0, own.groupBy("h1", "h2").agg(F.count("*").alias("n"), *self._first()))
+        """Adds a run of the batch's own lines that no run has settled; a document counts once for a key."""
+        first = ["doc"] if self.firsts else []
+        own = docs.select(*first, F.explode(distinct_keys(F.col("text"), self.min_chars)).alias("k")).select("k.*", *first)
+        own = own.groupBy(*KEY).agg(F.count("*").alias("n"), *([F.min("doc").alias("first")] if self.firsts else []))
+        # With firsts a settled key's smallest document may be in this batch still: the run keeps the key then.
+        for run in self.runs():
+            settled = run.where(F.col("n") >= self.at_least)
+            if self.firsts:
+                settled = settled.select(*KEY, F.col("first").alias("before"))
+                own = own.join(settled.hint("merge"), [*[own[k] == settled[k] for k in KEY], own["first"] >= settled["before"]], "left_anti")
+            else:
+                own = own.join(settled.select(*KEY).hint("merge"), KEY, "left_anti")
+        self._put(0, scratch.keep_sorted(own, KEY, self.buckets))
 
     def _put(self, level: int, run: DataFrame) -> None:
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(scratch.keep(run.sortWithinPartitions("h1", "h2")))
-        if len(self.levels[level]) >= self.fanout:
-            old, self.levels[level] = self.levels[level], []
-            self._put(level + 1, self._merged(old))
-            scratch.drop(self.spark, *old)
-
-    def _first(self) -> list[Column]:
-        return [F.min("first").alias("first")] if self.firsts else []
-
-    def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.union, runs).groupBy("h1", "h2").agg(F.sum("n").alias("n"), *self._first())
+        if level == len(self.levels):
+            self.levels.append(None)
+        other = self.levels[level]
+        if other is None:
+            self.levels[level] = run
+            return
+        self.levels[level] = None
+        merged = scratch.keep_sorted(self.merged(other, run), KEY, self.buckets)
+        scratch.drop(self.spark, other, run)
+        self._put(level + 1, merged)
+
+    def merged(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        """Two runs as one, by a full merge join of their buckets."""
+        name = lambda df, p: df.select(*[F.col(c).alias(c if c in KEY else f"{p}_{c}") for c in df.columns])
+        first = [F.least("a_first", "b_first").alias("first")] if self.firsts else []
+        count = F.coalesce("a_n", F.lit(0)) + F.coalesce("b_n", F.lit(0))
+        return name(a, "a").hint("merge").join(name(b, "b"), KEY, "full_outer").select(*KEY, count.alias("n"), *first)
 
     def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
+        return [run for run in self.levels if run is not None]
 
-    def found_in(self, at_least: int) -> DataFrame:
-        """(h1, h2), and first if held, of keys that at least so many documents have."""
+    def found_in(self, at_least: int | None = None) -> DataFrame:
+        """(h1, h2), and first if held, of keys that so many documents have (at_least, or fewer); the runs are compacted to one."""
         runs = self.runs()
-        all_ = runs[0] if len(runs) == 1 else self._merged(runs)
-        return all_.where(F.col("n") >= at_least).drop("n")
+        while len(runs) > 1:
+            merged = scratch.keep_sorted(self.merged(runs[0], runs[1]), KEY, self.buckets)
+            scratch.drop(self.spark, *runs[:2])
+            runs = [merged, *runs[2:]]
+        self.levels = [*[None] * (len(self.levels) - 1), *runs]
+        return runs[0].where(F.col("n") >= (at_least or self.at_least)).drop("n")
 
     def free(self) -> None:
         scratch.drop(self.spark, *self.runs())
@@ -83,37 +111,50 @@ class LineIndex:
 
 
 def without_lines(docs: DataFrame, gone: DataFrame, min_chars: int = 1) -> DataFrame:
-    """docs with __n_lines (before), __n_dropped, and text without the lines whose key's hash is in gone; a null text becomes an empty one.
+    """docs with text freed of the lines whose key's hash is in gone, n_lines (before) and n_dropped; a null text becomes an empty one.
 
-    Where gone has a column first, the lines of the documents with that doc_id stay.
+    Where gone has a column first, the lines of the documents with that doc_id stay. New columns whose name
+    docs has already get underscores in front.
 
     The hashes, not the texts, go through the join with gone; a document's row then meets the places of its lines to drop.
     """
-    me = [F.xxhash64("doc_id", "text").alias("__r1"), F.xxhash64("text", "doc_id").alias("__r2")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    id_, text = F.col("row.doc_id"), F.col("row.text")
+    me = [F.xxhash64(id_, text).alias("r1"), F.xxhash64(text, id_).alias("r2")]
     firsts = "first" in gone.columns
-    doc = [F.col("doc_id").alias("__doc")] if firsts else []
-    placed = docs.select(*me, *doc, F.posexplode(keys(F.col("text"), min_chars)).alias("at", "k")).where("k is not null").select("__r1", "__r2", *(["__doc"] if firsts else []), "at", "k.h1", "k.h2")
-    hit = placed.join(gone, ["h1", "h2"]).where(~F.col("__doc").eqNullSafe(F.col("first"))) if firsts else placed.join(gone, ["h1", "h2"], "left_semi")
-    out = hit.groupBy("__r1", "__r2").agg(F.collect_set("at").alias("__out"))
-    rows = docs.withColumns({"__r1": me[0], "__r2": me[1]}).join(out, ["__r1", "__r2"], "left")
-    split = lines(F.col("text"))
-    kept = F.when(F.col("__out").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(F.filter(split, lambda line, i: ~F.array_contains(F.col("__out"), i)), "\n"))
-    result = rows.withColumns({"__n_lines": F.size(split).cast("bigint"), "__n_dropped": F.coalesce(F.size("__out"), F.lit(0)).cast("bigint")}).withColumn("__kept", kept)
-    return result.select(*[F.col("__kept").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], "__n_lines", "__n_dropped")
+    doc = [id_.alias("doc")] if firsts else []
+    placed = rows.select(*me, *doc, F.posexplode(keys(text, min_chars)).alias("at", "k")).where("k is not null").select("r1", "r2", *(["doc"] if firsts else []), "at", "k.h1", "k.h2")
+    hit = placed.join(gone, KEY).where(~F.col("doc").eqNullSafe(F.col("first"))) if firsts else placed.join(gone, KEY, "left_semi")
+    out = hit.groupBy("r1", "r2").agg(F.collect_set("at").alias("out"))
+    met = rows.select("row", *me).join(out, ["r1", "r2"], "left")
+
+    def kept(split: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("out"))
+        return F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n")
+
+    freed = F.when(F.col("out").isNull(), F.coalesce(text, F.lit(""))).otherwise(once(lines(text), kept))
+    n_lines, n_dropped = scratch.free_names(docs.columns, "n_lines", "n_dropped")
+    return met.select(
+        *[freed.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns],
+        F.size(lines(text)).cast("bigint").alias(n_lines),
+        F.coalesce(F.size("out"), F.lit(0)).cast("bigint").alias(n_dropped),
+    )
 
 
-def drop_repeated_lines(docs: DataFrame, at_least: int = 10, min_chars: int = 1, batches: int = 2, keep_first: bool = False) -> DataFrame:
-    """docs with text freed of the lines that at_least documents have, and __n_lines and __n_dropped.
+def drop_repeated_lines(docs: DataFrame, at_least: int = 10, min_chars: int = 1, batches: int = 4, keep_first: bool = False) -> DataFrame:
+    """docs with text freed of the lines that at_least documents have, and n_lines and n_dropped.
 
     Lines are what \\n separates (a null or empty text has one empty line); a line's key is the line
     without white space at its ends and with A-Z lower-cased; a key of fewer than min_chars characters
     is never dropped. Every row counts as a document, repeated ones too. The documents come as batches
-    by a hash; each adds its run to an index, and then all are filtered by what the index holds. With
-    keep_first the document of the smallest doc_id that has a line keeps it (all rows of that doc_id do).
+    by a hash of doc_id; each adds its run to an index, and then all are filtered by what the index holds.
+    With keep_first the document of the smallest doc_id that has a line keeps it (all rows of that doc_id do).
+    Other columns stay as they are, whatever their names and types.
     """
-    index = LineIndex(docs.sparkSession, min_chars, firsts=keep_first)
+    index = LineIndex(docs.sparkSession, at_least, min_chars, firsts=keep_first)
+    rows = docs.select(F.col("doc_id").alias("doc"), "text")
     for i in range(batches):
-        index.add(docs.where(F.pmod(F.xxhash64("doc_id", "n_chars") if "n_chars" in docs.columns else F.xxhash64("doc_id"), F.lit(batches)) == i))
-    gone = scratch.keep(index.found_in(at_least))
+        index.add(rows.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == i))
+    gone = scratch.keep(index.found_in())
     index.free()
     return without_lines(docs, gone, min_chars)

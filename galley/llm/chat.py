@@ -5,9 +5,10 @@ Events are rows (conv_id, seq, kind, message_id, role, text); kinds:
   delta       adds text to the message that it names
   edit        replaces the text of the message that it names
   regenerate  empties the message that it names, and drops the messages opened after that message and before this event
-Within a conversation events go by seq; ties by kind, role and text. Nulls: a null kind is a message, a
-null text is empty, a null seq comes first, a null conv_id is a conversation. An event that names a
-message which no earlier event opened has no effect.
+Within a conversation events go by seq; ties put messages first, then go by kind, role and text. Nulls: a null
+kind is a message, a null text is empty, a null seq comes first, a null conv_id is a conversation. An event
+that names a message which no earlier event opened has no effect. A message event whose id is open already
+adds its text to that message. A regeneration counts even if another one drops its message.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from galley.operators import tables
 
 TURN, END = "<|im_start|>", "<|im_end|>"
 #: Characters of a segment of rendered turns, at most (a single longer turn is one segment).
@@ -43,37 +47,43 @@ def unescape_role(role: str) -> str:
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """(conv_id, seq, role, text) of the final messages.
+    """(conv_id, seq, role, text) of the final messages; seq and role are those of the event that opened the message.
 
-    Only messages that later events name are gathered, each with its own events; the others pass. What a
-    regeneration drops is found by a join on the conversation, so that no conversation is gathered.
+    The log is partitioned by message and sorted; what the last edit or regeneration replaced goes before texts
+    are gathered, so that a row holds no more than its final text. What a regeneration drops is found by running
+    maxima over ranges of a conversation, so that no conversation is gathered.
     """
     e = events.select("conv_id", "seq", F.coalesce("kind", F.lit("message")).alias("kind"), "message_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    later = e.where("kind != 'message' and message_id is not null")
-    if not later.limit(1).count():
-        return e.where("kind = 'message'").select("conv_id", "seq", "role", "text")
-    same = lambda a, b: a["conv_id"].eqNullSafe(b["conv_id"]) & a["message_id"].eqNullSafe(b["message_id"])
-    named = later.select("conv_id", "message_id").distinct()
-    opened = e.where("kind = 'message'")
-    alone = opened.join(named, same(opened, named), "left_anti").select("conv_id", "seq", "role", "text")
-    touched = opened.join(named, same(opened, named), "left_semi").union(later)
-    order = F.array_sort(F.collect_list(F.struct("seq", F.when(F.col("kind") == "message", 0).otherwise(1).alias("late"), "kind", "role", "text")))
-    start = F.struct(F.lit(False).alias("open"), F.lit(None).cast(events.schema["seq"].dataType).alias("seq"), F.lit("").alias("role"), F.lit("").alias("text"), F.lit(None).cast(events.schema["seq"].dataType).alias("again"))
-    step = lambda s, x: F.when(
-        x["kind"] == "message",
-        F.struct(F.lit(True).alias("open"), F.when(s["open"], s["seq"]).otherwise(x["seq"]).alias("seq"), F.when(s["open"], s["role"]).otherwise(x["role"]).alias("role"), F.concat(s["text"], x["text"]).alias("text"), s["again"].alias("again")),
-    ).when(~s["open"], s).otherwise(
-        F.struct(
-            s["open"].alias("open"), s["seq"].alias("seq"), s["role"].alias("role"),
-            F.when(x["kind"] == "delta", F.concat(s["text"], x["text"])).when(x["kind"] == "edit", x["text"]).when(x["kind"] == "regenerate", F.lit("")).otherwise(s["text"]).alias("text"),
-            F.when(x["kind"] == "regenerate", x["seq"]).otherwise(s["again"]).alias("again"),
-        )
-    )
-    folded = touched.groupBy("conv_id", "message_id").agg(F.aggregate(order, start, step).alias("m")).select("conv_id", "m.*").where("open")
-    final = alone.unionByName(folded.select("conv_id", "seq", "role", "text"))
-    cuts = folded.where("again is not null").groupBy(F.col("conv_id").alias("c")).agg(F.collect_list(F.struct(F.col("seq").alias("a"), F.col("again").alias("b"))).alias("cuts"))
-    gone = F.exists("cuts", lambda x: (F.col("seq") > x["a"]) & (F.col("seq") < x["b"]))
-    return final.join(cuts, final["conv_id"].eqNullSafe(cuts["c"]), "left").where(F.col("cuts").isNull() | ~F.coalesce(gone, F.lit(False))).select("conv_id", "seq", "role", "text")
+    opens = F.col("kind") == "message"
+    alone = e.where(opens & F.col("message_id").isNull()).select("conv_id", "seq", "role", "text", F.lit(None).cast(events.schema["seq"].dataType).alias("again"))
+    key = ["conv_id", "message_id"]
+    log = Window.partitionBy(*key).orderBy("seq", ~opens, "kind", "role", "text")
+    whole = Window.partitionBy(*key)
+    named = e.where("message_id is not null").withColumns({"place": F.row_number().over(log), "open": F.max(opens).over(log.rowsBetween(Window.unboundedPreceding, Window.currentRow))}).where("open")
+    last = F.max(F.when(F.col("kind").isin("edit", "regenerate"), F.col("place"))).over(whole)
+    named = named.withColumns({"from": F.coalesce(last, F.lit(0)), "first": F.min("place").over(whole)})
+    lasting = F.when((F.col("place") >= F.col("from")) & F.col("kind").isin("message", "delta", "edit"), F.struct("place", "text"))
+    opener = F.when(F.col("place") == F.col("first"), F.struct("seq", "role"))
+    folded = named.groupBy(*key).agg(F.max(opener).alias("o"), F.array_sort(F.collect_list(lasting)).alias("texts"), F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("again"))
+    folded = folded.select("conv_id", "o.seq", "o.role", F.array_join("texts.text", "").alias("text"), "again")
+    final = alone.unionByName(folded)
+    if not e.where("kind = 'regenerate'").limit(1).count():
+        return final.drop("again")
+    return _without_dropped(final)
+
+
+def _without_dropped(messages: DataFrame) -> DataFrame:
+    """Messages but those opened behind a message and before its regeneration (again)."""
+    n = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tables.keep(messages.repartitionByRange(n, "conv_id", "seq").withColumn("part", F.spark_partition_id()))
+    # The latest regeneration of messages of earlier ranges, then of earlier messages of the same range.
+    ranges = dealt.groupBy("conv_id", "part").agg(F.max("again").alias("high"))
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ranges.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.max("high").over(before).alias("carry"))
+    met = dealt.join(carry, dealt["conv_id"].eqNullSafe(carry["c"]) & (dealt["part"] == carry["p"]))
+    own = F.max("again").over(Window.partitionBy("conv_id", "part").orderBy("seq").rangeBetween(Window.unboundedPreceding, -1))
+    until = F.greatest("carry", own)  # skips nulls
+    return met.withColumn("until", until).where(F.coalesce(F.col("until") <= F.col("seq"), F.lit(True))).select("conv_id", "seq", "role", "text")
 
 
 def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

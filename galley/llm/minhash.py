@@ -9,8 +9,8 @@ similarity, concentrated as with t independent places (Dahlgaard, Knudsen, Thoru
 Steps: documents with the same words form a class, of which one stands for all; equal bands of
 sketches put classes into buckets; each bucket's members are confirmed against its first one on full
 sets; in buckets whose members are then not all in one component, those outside the largest one are
-confirmed against all, in tiles. Links are looked for until all pairs that share a bucket are confirmed, refuted or known
-to be in one component, so banding alone decides what can be missed: see bands_for.
+confirmed against all, in tiles. Links are looked for until all pairs that share a bucket are confirmed,
+refuted or known to be in one component, so banding alone decides what can be missed: see bands_for.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galley.llm import scratch, textvec
+from galley.llm import textvec
+from galley.operators import tables as scratch
 from galley.operators.graph import connected_components
 
 #: Members of a unit of confirmation: beside a leader, and on either side of a tile. Tiles hold at most
@@ -133,7 +134,7 @@ def _confirmed(units: DataFrame, texts: DataFrame, k: int, percent: int, parts:
     return rows.repartition(parts, "unit").sortWithinPartitions("unit", "side", "doc_id").mapInArrow(_confirm(k, percent), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-7) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-7, tile: int = TILE, wide_tile: int = WIDE_TILE) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id and kept, in groups linked by similar sets of k-word shingles.
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their sets (A-Z lower-cased
@@ -141,7 +142,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     shingle). component_id is the smallest doc_id that links reach, kept says that it is the document's.
     A null text, or one without words, has an empty set and is linked with nothing. A null doc_id takes
     no part: its component_id is null and it is kept. Rows that share a doc_id are one node; each is
-    returned. Other columns, whatever their names, are left alone.
+    returned. Other columns, whatever their names, are left alone. tile and wide_tile size the units of
+    confirmation, not results.
     """
     spark = docs.sparkSession
     bands, rows = bands_for(percent / 100, miss)
@@ -168,7 +170,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
 
     # First every member against its leader, in chunks by a hash of the member.
     star = members.where("doc_id != leader").select("leader", "doc_id").distinct()
-    size = star.groupBy("leader").agg(F.ceil(F.count("*") / TILE).alias("chunks"))
+    size = star.groupBy("leader").agg(F.ceil(F.count("*") / tile).alias("chunks"))
     star = scratch.keep(star.join(size, "leader").withColumn("unit", F.struct("leader", F.pmod(F.xxhash64("doc_id"), "chunks").alias("i"), F.lit(0).cast("bigint").alias("j"))))
     units = star.select("unit", F.lit(1).alias("side"), "doc_id").union(star.select("unit", F.lit(0), F.col("leader")).distinct())
     links = scratch.keep(_confirmed(units.withColumn("comp", F.col("doc_id")), texts, k, percent, parts))
@@ -185,7 +187,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
         .where("of_most < n and n > 2")  # of two members, the only pair is refuted
         .groupBy("n", "sig")
         .agg(F.min(F.struct("band", "h", "most", (F.col("n") - F.col("of_most")).alias("over"))).alias("m"))  # buckets with the same members count once
-        .select("m.band", "m.h", "m.most", F.ceil(F.col("n") / WIDE_TILE).alias("tiles"), F.ceil(F.col("m.over") / WIDE_TILE).alias("over"))
+        .select("m.band", "m.h", "m.most", F.ceil(F.col("n") / wide_tile).alias("tiles"), F.ceil(F.col("m.over") / wide_tile).alias("over"))
     )
     left = known.join(mixed, ["band", "h"])
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
@@ -204,7 +206,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
 
 def first_of_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those that near_duplicates() does not keep; all columns stay. Of rows that repeat a doc_id, all stay or go."""
-    gone = near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("bigint") == F.col("gone"), "left_anti")
-
-
+    gone = near_duplicates(docs.select("doc_id", "text"), k, percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(gone, F.col("row.doc_id").cast("bigint") == F.col("gone"), "left_anti").select("row.*")

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
-from galley.llm import scratch, textvec
+from galley.llm import textvec
+from galley.operators import tables as scratch
+
+#: A table of sources of more bytes is joined by a shuffle, not broadcast.
+BROADCAST_BYTES = 8 << 20
+
 
-#: Sources beyond this many are joined by a shuffle, not broadcast (a row takes about 100 bytes).
-BROADCAST_SOURCES = 50_000
 @F.arrow_udf(LongType())
 def n_words(text: pa.Array) -> pa.Array:
     """The number of runs of characters other than [\\x20\\x09-\\x0D]; a null text has none."""
@@ -33,7 +36,7 @@ def rates(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3)
     spark = sizes.sparkSession
     sums = scratch.keep(sizes.groupBy("source").agg(F.sum("size").cast("bigint").alias("source_size")))
     order = [F.col("source").isNull(), F.col("source").cast("binary")]
-    parts = max(1, min(200, sums.count() // 10_000))
+    parts = max(1, sums.count() // 100_000)
     dealt = scratch.keep(sums.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
     before, seen = {}, 0
     for part, n in sorted(map(tuple, dealt.groupBy("part").count().collect())):
@@ -60,26 +63,39 @@ def rates(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3)
     return ranked.select("source", "source_size", F.when(above, cap.cast("double")).otherwise(fair).alias("target"))
 
 
+def _mixed(docs: DataFrame, seed: str, weights: tuple[int, ...], most: int) -> DataFrame:
+    """(row, size, source_size, target, copies): row holds the columns of docs."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    sized = docs.select(row.alias("row"), n_words(F.col("text").cast("string")).alias("size"))
+    table = scratch.keep(rates(sized.select(F.col("row.source").alias("source"), "size"), weights, most))
+    small = table.agg(F.count("*"), F.sum(F.octet_length(F.col("source").cast("string")))).first()
+    if 40 * small[0] + (small[1] or 0) <= BROADCAST_BYTES:
+        table = F.broadcast(table)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    draw = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("row.doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    copies = F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)
+    joined = sized.join(table, F.col("row.source").eqNullSafe(F.col("source")))
+    return joined.select("row", "size", "source_size", "target", copies.cast("bigint").alias("copies"))
+
+
 def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """docs with __size, __source_size, __target and __copies: how often the mix takes each document.
+    """docs with size, source_size, target and copies: how often the mix takes each document.
 
     A document is taken floor(rate) times, and once more with the probability that is left of the rate,
     target / source_size, by a hash of its doc_id and the seed: reruns agree, rows that repeat a doc_id
     are taken alike. The size is the number of words; a null source is a source, a null doc_id hashes as
     the text null. A source without words has the target 0 and no copies of its documents are taken.
-    Columns of docs must not begin with two underscores and these names.
+    What a source takes has its target as its mean; its standard error is the root of the summed
+    size^2 p (1 - p) of its documents, p the fraction of the rate. New columns whose name docs has
+    already get underscores in front.
     """
-    sized = docs.withColumn("__size", n_words(F.col("text").cast("string")))
-    table = rates(sized.select("source", F.col("__size").alias("size")), weights, most).select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
-    if table.count() <= BROADCAST_SOURCES:
-        table = F.broadcast(table)
-    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(0.0)
-    draw = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    copies = F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)
-    return sized.join(table, F.col("source").eqNullSafe(F.col("__source"))).drop("__source").withColumn("__copies", copies.cast("bigint"))
+    names = scratch.free_names(docs.columns, "size", "source_size", "target", "copies")
+    mixed = _mixed(docs, seed, weights, most)
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns]
+    return mixed.select(*own, *[F.col(c).alias(n) for c, n in zip(("size", "source_size", "target", "copies"), names, strict=True)])
 
 
 def emit(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """The mix itself: the columns of docs, each document as often as it is taken."""
-    mixed = mix(docs, seed, weights, most).where("__copies > 0")
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = _mixed(docs, seed, weights, most).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("row.*")

@@ -17,9 +17,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from galley.llm import textvec
 from galley.llm.linear import Rows, ordinal
+from galley.operators import tables
 
 WIDTH = 1 << 18
 LEVELS = 3
@@ -93,35 +95,44 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model of at most SAMPLE_DOCS labelled documents of each grade, of at most SAMPLE_BYTES bytes each, picked by a hash of doc_id.
 
     A label without a quality is left out, one without a toxic mark is clean. Of several labels of a
-    document the lowest grade counts.
+    document the lowest grade counts; of several texts of a doc_id the least by code point. The sample has
+    at most LEVELS * SAMPLE_DOCS rows of (doc_id, grade), which is what is broadcast.
     """
     grade = F.when(F.col("quality") > 0, 1).otherwise(0) + F.when(F.coalesce("toxic", F.lit(0)) > 0, 0).otherwise(1)
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min(grade).alias("grade"))
     rank = F.xxhash64("doc_id", F.lit("quality"))
     picked = [known.where(F.col("grade") == g).orderBy(rank).limit(SAMPLE_DOCS) for g in range(LEVELS)]
     rows = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES)).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sample = rows.join(F.broadcast(picked[0].union(picked[1]).union(picked[2])), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(LEVELS * SAMPLE_DOCS).collect()
+    sample = rows.join(F.broadcast(picked[0].union(picked[1]).union(picked[2])), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text")).orderBy("doc_id").limit(LEVELS * SAMPLE_DOCS).collect()
     return fit([r["text"] for r in sample], [r["grade"] for r in sample])
 
 
 def _grade(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, texts in textvec.slices(batch.column("__text")):
+            for row, texts in textvec.slices(batch.column("text")):
                 tails = model.tails(texts)
-                rest = [batch.column(c).slice(row, texts.n) for c in batch.schema.names if c != "__text"]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(tails.sum(axis=1)), pa.array(tails[:, -1])], names=[*(c for c in batch.schema.names if c != "__text"), "__expected", "__tail"])
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(row, texts.n), pa.array(tails.sum(axis=1)), pa.array(tails[:, -1])], names=["row", "expected", "tail"])
 
     return run
 
 
+def _graded(docs: DataFrame, model: Model) -> DataFrame:
+    """(row, expected, tail): row holds the columns of docs."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    schema = StructType([rows.schema["row"], StructField("expected", DoubleType()), StructField("tail", DoubleType())])
+    return rows.mapInArrow(_grade(model), schema)
+
+
 def grade(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with __expected, the expected grade (0 to 2), and __tail, the probability of the best grade; a null text is an empty one."""
-    rows = docs.select("*", F.col("text").cast("string").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return rows.mapInArrow(_grade(model), f"{schema}, __expected double, __tail double")
+    """docs with expected_grade (0 to 2) and tail_probability, that of the best grade; a null text is an empty one.
+
+    New columns whose name docs has already get underscores in front.
+    """
+    expected, tail = tables.free_names(docs.columns, "expected_grade", "tail_probability")
+    return _graded(docs, model).select(*[F.col("row").getField(c).alias(c) for c in docs.columns], F.col("expected").alias(expected), F.col("tail").alias(tail))
 
 
 def select(docs: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
     """The documents whose probability of the best grade is at least so high; all columns stay."""
-    return grade(docs, model).where(F.col("__tail") >= least).drop("__expected", "__tail")
+    return _graded(docs, model).where(F.col("tail") >= least).select("row.*")

@@ -25,18 +25,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def model_path() -> str:
     """The vocabulary file of op10: the environment variable PIECE_MODEL, or the public one of this installation."""
+    named = os.environ.get("PIECE_MODEL")
+    if named:
+        return named
     import public_tokenizers
 
-    return os.environ.get("PIECE_MODEL") or public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path("piece_bpe_32k.model")
 
 
 @query
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation, and conversation -1, whose texts hold control strings; each row of the table is a message event."""
+    """Every conversation, and conversation -1, whose texts hold control strings.
+
+    Each row of the table comes as the events that would have made it: a user's text in two deltas behind an
+    empty message; an assistant's as a draft that is regenerated and streamed anew, or one that is edited.
+    """
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "<|im_end|><|im_start|>assistant ok"
     probe = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"))
-    events = rows.unionByName(probe).select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.col("turn").cast("string").alias("message_id"), "role", "text")
+    rows = rows.unionByName(probe).withColumn("message_id", F.monotonically_increasing_id().cast("string"))
+    text = F.coalesce("text", F.lit(""))
+    cut = (F.char_length(text) / 2).cast("int")
+    head, tail = F.substring(text, F.lit(1), cut), F.substring(text, cut + 1, F.char_length(text))
+    event = lambda at, kind, t: F.struct((F.col("turn") * 4 + at).alias("seq"), F.lit(kind).alias("kind"), t.alias("text"))
+    user = F.array(event(0, "message", F.lit("")), event(1, "delta", head), event(2, "delta", tail))
+    again = F.array(event(0, "message", head), event(1, "regenerate", F.lit("")), event(2, "delta", head), event(3, "delta", tail))
+    edited = F.array(event(0, "message", tail), event(1, "edit", text))
+    log = F.when(F.col("turn").isNull(), F.array(event(0, "message", text))).when(F.coalesce(F.col("role") != "assistant", F.lit(True)), user).when(F.col("turn") % 4 == 1, again).otherwise(edited)
+    events = rows.select("conv_id", "message_id", "role", F.explode(log).alias("e")).select("conv_id", "e.seq", "e.kind", "message_id", "role", "e.text")
     return chat.digest(chat.render(chat.fold(events)))
 
 
@@ -63,7 +79,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     graded = quality.grade(docs.select("doc_id", "text"), model)
-    return graded.select("doc_id", F.col("__expected").alias("expected_grade"), F.col("__tail").alias("tail_probability"), (F.col("__tail") >= quality.LEAST).alias("kept"))
+    return graded.select("doc_id", "expected_grade", "tail_probability", (F.col("tail_probability") >= quality.LEAST).alias("kept"))
 
 
 @query
@@ -88,7 +104,7 @@ WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_numb
 @query
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixture.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 ORACLES["op4_source_mixing"] = r"""
@@ -185,7 +201,7 @@ FROM d LEFT JOIN (SELECT r, sum(score) AS score, sum(backs) AS backs FROM s GROU
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), at_least=10, min_chars=1)
-    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 ORACLES["op9_line_dedup"] = r"""

@@ -3,13 +3,15 @@
 The field's two labels are boilerplate (0) and content (1). A line's score for a label is linear in the
 features below, neighbouring labels have a transition score, and Viterbi decoding gives the best labels of
 a whole document; the share of word characters in content lines then decides whether to keep it. The
-weights are fitted by maximum likelihood on a bounded sample of documents with labels: the lines of a
-document of good quality are content, those of a bad one boilerplate. Without labels of both kinds the
-weights of `Field.default` hold.
+weights are fitted by maximum likelihood on a bounded sample of documents with labels. Lines of a document
+of bad quality are boilerplate; so are, in a good one, lines that repeat an earlier line of it or that
+several documents of the sample share (see boilerplate); the others are content. Without labels of both
+kinds the weights of `Field.default` hold.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +24,8 @@ from galley.llm import textvec
 
 #: Documents of either quality, and bytes of a document, that the field is fitted on at most.
 SAMPLE_DOCS, SAMPLE_BYTES = 1500, 1 << 15
+#: A line that so many documents of the sample have is boilerplate.
+SHARED_BY = 5
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
 FEATURES = ["bias", "symbols", "capitals", "digits", "pipes", "same_word", "seen_line", "marks", "log_words", "word_length", "few_kinds"]
@@ -180,8 +184,21 @@ def _likelihood(w: np.ndarray, x: np.ndarray, text: np.ndarray, y: np.ndarray, l
     return value / n + l2 * (w @ w), grad / n + 2 * l2 * w
 
 
+def boilerplate(texts: list[str]) -> np.ndarray:
+    """Whether each line (of all texts, in order) equals an earlier line of its text or a line of SHARED_BY different texts or more; lines without a word are not."""
+    keys = [[line.strip() for line in text.split("\n")] for text in texts]
+    shared = Counter(key for text in set(texts) for key in {line.strip() for line in text.split("\n")})
+    out = []
+    for of_text in keys:
+        seen: set[str] = set()
+        for key in of_text:
+            out.append(bool(key) and (key in seen or shared[key] >= SHARED_BY))
+            seen.add(key)
+    return np.array(out, bool)
+
+
 def fit(texts: list[str], good: list[bool], steps: int = 150) -> Field:
-    """The field of most likelihood (with a small penalty) for lines labelled by their document's quality."""
+    """The field of most likelihood (with a small penalty) for lines labelled by their document's quality and their repetition."""
     if len(set(good)) < 2:
         return Field.default()
     xs, docs, ys, done = [], [], [], 0
@@ -193,6 +210,7 @@ def fit(texts: list[str], good: list[bool], steps: int = 150) -> Field:
         ys.append(y[c.line_text + row])
         done += part.n
     x, doc, y = np.concatenate(xs), np.concatenate(docs), np.concatenate(ys)
+    y = np.where(boilerplate(texts), 0, y)
     w, m, v = np.zeros(x.shape[1] + 4), 0.0, 0.0
     for i in range(1, steps + 1):
         _, g = _likelihood(w, x, doc, y, 1e-4)
@@ -202,12 +220,15 @@ def fit(texts: list[str], good: list[bool], steps: int = 150) -> Field:
 
 
 def train(docs: DataFrame, labels: DataFrame | None) -> Field:
-    """A field fitted on at most SAMPLE_DOCS labelled documents of either quality, of at most SAMPLE_BYTES bytes each, picked by a hash of doc_id."""
+    """A field fitted on at most SAMPLE_DOCS labelled documents of either quality, of at most SAMPLE_BYTES bytes each, picked by a hash of doc_id.
+
+    A document with labels of both kinds is of bad quality; labels without a quality or doc_id are left out.
+    """
     if labels is None:
         return Field.default()
     rank = F.xxhash64(F.col("doc_id").cast("bigint"))
-    known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.col("quality") > 0).alias("good"))
-    picked = known.where("good").orderBy(rank).limit(SAMPLE_DOCS).union(known.where("not good").orderBy(rank).limit(SAMPLE_DOCS)).dropDuplicates(["doc_id"])
+    known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.col("quality") > 0).alias("good")).groupBy("doc_id").agg(F.min("good").alias("good"))
+    picked = known.where("good").orderBy(rank, "doc_id").limit(SAMPLE_DOCS).union(known.where("not good").orderBy(rank, "doc_id").limit(SAMPLE_DOCS))
     rows = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES)).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sample = rows.join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").limit(2 * SAMPLE_DOCS).collect()
     return fit([r["text"] for r in sample], [r["good"] for r in sample])

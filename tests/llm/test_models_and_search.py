@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from galley.llm import langid, linear, minhash, quality, topk
 
@@ -42,10 +43,10 @@ def test_near_duplicates_against_brute_force(spark, doc_table):
         texts[i] = " ".join(w)
     texts |= {200: None, 201: "", 202: " \n", 203: "One TWO", 204: "one two", 205: "one"}
     rows = [(i, t, "s") for i, t in texts.items()] + [(203, "One TWO", "s"), (None, "One TWO", "s")]
-    for k, percent in ((3, 85), (5, 80)):
+    for k, percent, tile in ((3, 85, 2), (5, 80, 64)):
         sets = sets_of(texts, k)
         want = components(sets, percent)
-        got = minhash.near_duplicates(doc_table(rows), k, percent).collect()
+        got = minhash.near_duplicates(doc_table(rows), k, percent, tile=tile, wide_tile=tile).collect()
         assert len(got) == len(rows)
         for x in got:
             if x.doc_id is None:
@@ -68,14 +69,15 @@ def test_sketches_fill_and_agree():
     assert abs((s[0] == s[1]).mean() - 0.8) < 0.1
 
 
-def test_top_k_against_brute_force(spark):
+@pytest.mark.parametrize("sizes", [{}, {"block": 30, "query_block": 4}])
+def test_top_k_against_brute_force(spark, sizes):
     r = np.random.default_rng(2)
     x = r.normal(size=(300, 20)).round(1)
     x[50:60] = x[0]
     rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(400, None), (401, [1.0, None]), (402, [float("nan")] * 20), (403, [1.0, 2.0]), (404, []), (10, [float(v) for v in x[10]]), (None, [1.0] * 20)]
     df = spark.createDataFrame([(*row, "x") for row in rows], "vec_id bigint, embedding array<double>, block string")
     got = {}
-    for w in topk.top_k(df, df.where("vec_id % 20 = 0"), k=7).orderBy("query_id", "rank").collect():
+    for w in topk.top_k(df, df.where("vec_id % 20 = 0"), k=7, **sizes).orderBy("query_id", "rank").collect():
         got.setdefault(w.query_id, []).append((w.vec_id, w.score))
     ints = [(i, np.floor(64 * np.array(v)).astype(int)) for i, v in rows if i is not None and v is not None and len(v) == 20 and None not in v and np.isfinite(v).all()]
     for q in range(0, 300, 20):
@@ -83,9 +85,29 @@ def test_top_k_against_brute_force(spark):
         want = sorted(((i, int(mine @ v)) for i, v in ints if i != q), key=lambda t: (-t[1], t[0]))[:7]
         assert got[q] == want
     assert set(got) == set(range(0, 300, 20))
+    if sizes:  # the same ids in several partitions: a repeated candidate counts each time
+        twice = topk.top_k(df.union(df), df.where("vec_id = 0"), k=6, **sizes).orderBy("rank").collect()
+        want = sorted(((i, int(ints[0][1] @ v)) for i, v in ints * 2 if i != 0), key=lambda t: (-t[1], t[0]))[:6]
+        assert [(w.vec_id, w.score) for w in twice] == want
     assert topk.top_k(df.where("false"), df.where("false")).count() == 0
 
 
+def test_the_bound_compacts_clustered_vectors():
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(20, 64)) * 40
+    of = r.integers(0, 20, 3000)
+    v = np.floor(centres[of] + r.normal(size=(3000, 64)) * 4).astype(np.int64).T
+    ids, queries = np.arange(3000), np.arange(0, 3000, 20)
+    floors = np.array([np.sort(np.delete(v[:, i] @ v[:, :600], i if i < 600 else []))[-10] for i in queries], float)
+    for given in (None, floors):
+        tally = []
+        for j, got, score in topk.block_top(v[:, queries], v, queries, ids, 10, given, tally=tally):
+            s = v[:, queries[j]] @ v
+            want = sorted((i for i in ids if i != queries[j]), key=lambda i: (-s[i], i))[:10]
+            assert got.tolist() == want and score.tolist() == s[want].tolist()
+        assert np.mean(tally) < 0.5
+
+
 def test_block_top_with_wide_integers():
     q, v = np.array([[1 << 40, 3], [5, -7]]), np.array([[1 << 30, 2, -9, 4], [1, 1, 1, 1]])
     out = {j: (ids.tolist(), [int(s) for s in score]) for j, ids, score in topk.block_top(q, v, np.array([100, 1]), np.array([0, 1, 2, 3]), 2)}
@@ -119,7 +141,7 @@ def test_quality_selects(spark, doc_table):
     assert sum(i in kept for i in late if i % 3 == 2) >= 95 and sum(i in kept for i in late if i % 3 != 2) <= 5
     graded = quality.grade(docs, model)
     assert graded.count() == len(rows) and graded.columns[: len(docs.columns)] == docs.columns
-    assert graded.where("__expected between 0 and 2 and __tail between 0 and 1").count() == len(rows)
+    assert graded.where("expected_grade between 0 and 2 and tail_probability between 0 and 1").count() == len(rows)
     none = quality.train(docs, labels.where("false"))
     assert quality.select(docs, none).count() == len(rows) and quality.grade(docs.where("false"), none).count() == 0
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -71,7 +72,7 @@ def test_escapes_are_reversible():
 def brute_fold(events):
     out = {}
     for c in {e[0] for e in events}:
-        messages, named = [], {}
+        messages, named, cuts = [], {}, []
         for _, seq, kind, mid, role, text in sorted((e for e in events if e[0] == c), key=lambda e: e[1]):
             if kind == "message":
                 m = [seq, role, text or ""]
@@ -89,8 +90,8 @@ def brute_fold(events):
                     m[2] = text or ""
                 elif kind == "regenerate":
                     m[2] = ""
-                    messages = [x for x in messages if not (x[0] > m[0] and x[0] < seq)]
-        out[c] = [tuple(m[1:]) for m in messages]
+                    cuts.append((m[0], seq))
+        out[c] = [tuple(m[1:]) for m in messages if not any(a < m[0] < b for a, b in cuts)]
     return out
 
 
@@ -114,6 +115,33 @@ def test_fold_and_render(spark):
     assert chat.digest(chat.render(chat.fold(empty))).count() == 0
 
 
+def test_fold_of_random_logs(spark):
+    r = random.Random(11)
+    events = []
+    for conv in (1, 2, None):
+        seqs = list(range(120))
+        for seq in seqs:
+            kind = r.choice(["message", "message", "message", "delta", "delta", "edit", "regenerate"])
+            events.append((conv, seq, kind, f"m{seq if kind == 'message' else r.randrange(seq + 3)}", r.choice(["user", "assistant"]), r.choice(["", "x", f"t{seq}", None])))
+    df = spark.createDataFrame(events, "conv_id bigint, seq bigint, kind string, message_id string, role string, text string").repartition(3)
+    got = {}
+    for m in sorted(chat.fold(df).collect(), key=lambda m: (str(m.conv_id), m.seq)):
+        got.setdefault(m.conv_id, []).append((m.role, m.text))
+    assert got == brute_fold(events)
+    ties = [(1, 5, "message", "a", "user", "x"), (1, 5, "message", "b", "user", "x"), (1, 5, "regenerate", "a", None, None), (1, None, "message", "c", "user", "n"), (None, None, None, None, None, None)]
+    rows = chat.fold(spark.createDataFrame(ties, df.schema)).collect()
+    assert sorted((str(m.conv_id), str(m.seq), m.text) for m in rows) == [("1", "5", ""), ("1", "5", "x"), ("1", "None", "n"), ("None", "None", "")]
+
+
+def test_long_conversations_render_in_segments(spark, monkeypatch):
+    monkeypatch.setattr(chat, "SEGMENT", 64)  # the workers are forked before: sizes are those of the module there
+    rows = [(1, i, "assistant" if i % 2 else "user", "<|x" * (i % 5) + "y" * i) for i in range(300)]
+    segments = chat.render(spark.createDataFrame(rows, "conv_id bigint, seq bigint, role string, text string").repartition(4))
+    assert segments.select("part").distinct().count() > 1
+    d = chat.digest(segments).collect()
+    assert len(d) == 1 and d[0].n_turns == 300 and d[0].loss_sha256 == hashlib.sha256("".join(t for *_, role, t in rows if role == "assistant").encode()).hexdigest()
+
+
 def test_rules_against_brute_force(spark, doc_table):
     texts = random_texts(40) + ["a b c d e f a b c d e z", "x\nx\ny\nx", "w " * 5000]
     rows = {r.doc_id: r for r in rules.judge(doc_table([(i, t, "s") for i, t in enumerate(texts)]), rules.Field.default()).collect()}
@@ -148,17 +176,32 @@ def test_line_dedup(spark, doc_table):
     rows = [(i, f"Shared LINE \nown {i}\n\n  shared line", "s") for i in range(12)] + [(20, None, None), (21, "", None), (22, "shared line", None), (22, "shared line", None), (23, "own 3\nonly", "s"), (24, "É\né", "s")]
     got = {}
     for r in linededup.drop_repeated_lines(doc_table(rows), 10).collect():
-        got.setdefault(r.doc_id, []).append((r.text, r["__n_lines"], r["__n_dropped"]))
+        got.setdefault(r.doc_id, []).append((r.text, r.n_lines, r.n_dropped))
     assert got[3] == [("own 3\n", 4, 2)] and got[20] == got[21] == [("", 1, 0)] and got[22] == [("", 1, 1)] * 2 and got[23] == [("own 3\nonly", 2, 0)] and got[24] == [("É\né", 2, 0)]
     assert linededup.drop_repeated_lines(doc_table([])).count() == 0
 
 
 def test_line_index_levels(spark, doc_table):
-    index = linededup.LineIndex(spark, fanout=2)
-    for i in range(5):
-        index.add(doc_table([(i, f"x\nown {i}", "s")]))
-    assert [len(level) for level in index.levels] == [1, 0, 1]
-    assert index.found_in(5).count() == 1 and index.found_in(1).count() == 6
+    index = linededup.LineIndex(spark, at_least=3)
+    for i in range(7):
+        index.add(doc_table([(i, f"x\nown {i}\n x", "s")]).withColumnRenamed("doc_id", "doc"))
+    assert [level is None for level in index.levels] == [False, False, False]
+    assert {(r.n, r["count"]) for run in index.runs() for r in run.groupBy("n").count().collect()} >= {(4, 1)}
+    last = index.levels[0]
+    assert last.count() == 1  # the settled line was anti-joined away
+    plan = index.merged(*index.runs()[:2])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert index.found_in().count() == 1 and index.found_in(1).count() == 8
+    index.free()
+
+
+def test_line_dedup_of_many_lines(spark, doc_table):
+    rows = [(i, "\n".join(f"line {j % 15000 + 40 * i}" for j in range(60000)), "s") for i in range(3)]
+    got = {r.doc_id: r for r in linededup.drop_repeated_lines(doc_table(rows), 3).collect()}
+    for i, t, _ in rows:
+        split = t.split("\n")
+        kept = [x for x in split if not 80 <= int(x[5:]) < 15000]
+        assert (got[i].n_lines, got[i].n_dropped, got[i].text) == (60000, 60000 - len(kept), "\n".join(kept))
 
 
 def test_mixing(spark, doc_table):
@@ -166,9 +209,9 @@ def test_mixing(spark, doc_table):
     got = mixture.mix(doc_table(rows)).collect()
     sizes, targets = {}, {}
     for r in got:
-        sizes[r.source] = sizes.get(r.source, 0) + r["__size"]
-        targets[r.source] = r["__target"]
-    assert all(r["__source_size"] == sizes[r.source] and r["__copies"] <= 3 for r in got) and len(got) == len(rows)
+        sizes[r.source] = sizes.get(r.source, 0) + r.size
+        targets[r.source] = r.target
+    assert all(r.source_size == sizes[r.source] and r.copies <= 3 for r in got) and len(got) == len(rows)
     order = sorted((s for s in sizes if s is not None)) + [None]
     weight, total = {s: 1 + i % 3 for i, s in enumerate(order)}, sum(sizes.values())
     want, open_ = {}, set(order)
@@ -181,7 +224,7 @@ def test_mixing(spark, doc_table):
         open_ -= over
     want |= {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
     assert {s: round(t, 6) for s, t in targets.items()} == {s: round(t, 6) for s, t in want.items()}
-    assert mixture.emit(doc_table(rows)).count() == sum(r["__copies"] for r in got)
+    assert mixture.emit(doc_table(rows)).count() == sum(r.copies for r in got)
     assert mixture.mix(doc_table([])).count() == 0
 
 
@@ -232,3 +275,38 @@ def test_ngram_scores_without_words(spark, doc_table):
     assert sorted((r.doc_id, r.n_words, r.log_score, r.n_backoffs) for r in got) == [(i, 0, 0.0, 0) for i in (1, 2, 3)]
     got = ngram.score(doc_table([(1, None, "s"), (2, " one ", "s")]), order=3).collect()
     assert sorted((r.doc_id, r.n_words, r.log_score, r.n_backoffs) for r in got) == [(1, 0, 0.0, 0), (2, 1, 0.0, 0)]
+
+
+def message(*fields):
+    """Fields (number, value) as a serialised message."""
+    out = b""
+    for number, value in fields:
+        if isinstance(value, float):
+            out += bytes([number << 3 | 5]) + struct.pack("<f", value)
+        elif isinstance(value, int):
+            out += bytes([number << 3, value])
+        else:
+            out += bytes([number << 3 | 2]) + (bytes([len(value)]) if len(value) < 128 else bytes([len(value) & 127 | 128, len(value) >> 7])) + value
+    return out
+
+
+@pytest.mark.parametrize("fallback", [True, False])
+def test_weights_of_a_unigram_model(fallback):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    r = random.Random(7)
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + ([(f"<0x{i:02X}>", 0.0, 6) for i in range(256)] if fallback else [])
+    known = sorted({"▁", "a", "b", "c", *("".join(r.choice("abc") for _ in range(r.randint(2, 4))) for _ in range(30)), *("▁" + "".join(r.choice("abc") for _ in range(r.randint(1, 3))) for _ in range(12))})
+    pieces += [(p, -round(r.uniform(1, 9), 3), 1) for p in known]
+    data = b"".join(message((1, message((1, p.encode()), (2, s), (3, k)))) for p, s, k in pieces)
+    data += message((2, message((3, 1)) + (bytes([35 << 3 & 127 | 128, 35 >> 4, 1]) if fallback else b"")), (3, message((1, b"identity"), (3, 1), (4, 0), (5, 1))))
+    lib = sentencepiece.SentencePieceProcessor(model_proto=data)
+    fst = piece.Transducer(piece.Model(data))
+    for _ in range(400):
+        t = "".join(r.choice("abc abé") for _ in range(r.randint(0, 25)))
+        ours, theirs = fst.encode(t).tolist(), lib.encode(t)  # the same but for ties, which rounding decides there
+        assert sorted(ours) == sorted(theirs) or sum(pieces[i][1] for i in ours) == pytest.approx(sum(pieces[i][1] for i in theirs))
+        if 0 < len(t) < 9 and "é" not in t:
+            every = lambda x: [[]] if not x else [[x[:i], *rest] for i in range(1, len(x) + 1) if x[:i] in fst.ids for rest in every(x[i:])]
+            assert sum(fst.weight(p) for q in fst.cut(t) for p in fst.path(q)) == pytest.approx(min(-sum(map(fst.score.get, y)) for y in every(fst.normaliser.apply(t))))
+    with pytest.raises(ValueError):
+        piece.Model(data + message((1, message((1, b"user"), (3, 4)))))

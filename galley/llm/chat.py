@@ -73,9 +73,10 @@ def fold(events: DataFrame) -> DataFrame:
 
 
 def _without_dropped(messages: DataFrame) -> DataFrame:
-    """Messages but those opened behind a message and before its regeneration (again)."""
+    """Messages but those opened behind a message and before its regeneration (again); that depends on conv_id and seq alone, so texts stay where they are."""
     n = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = tables.keep(messages.repartitionByRange(n, "conv_id", "seq").withColumn("part", F.spark_partition_id()))
+    messages = tables.keep(messages)
+    dealt = tables.keep(messages.groupBy("conv_id", "seq").agg(F.max("again").alias("again")).repartitionByRange(n, "conv_id", "seq").withColumn("part", F.spark_partition_id()))
     # The latest regeneration of messages of earlier ranges, then of earlier messages of the same range.
     ranges = dealt.groupBy("conv_id", "part").agg(F.max("again").alias("high"))
     before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -83,7 +84,8 @@ def _without_dropped(messages: DataFrame) -> DataFrame:
     met = dealt.join(carry, dealt["conv_id"].eqNullSafe(carry["c"]) & (dealt["part"] == carry["p"]))
     own = F.max("again").over(Window.partitionBy("conv_id", "part").orderBy("seq").rangeBetween(Window.unboundedPreceding, -1))
     until = F.greatest("carry", own)  # skips nulls
-    return met.withColumn("until", until).where(F.coalesce(F.col("until") <= F.col("seq"), F.lit(True))).select("conv_id", "seq", "role", "text")
+    gone = tables.keep(met.withColumn("until", until).where(F.col("until") > F.col("seq")).select(F.col("conv_id").alias("c"), F.col("seq").alias("s")))
+    return messages.join(gone, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("seq") == F.col("s")), "left_anti").select("conv_id", "seq", "role", "text")
 
 
 def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

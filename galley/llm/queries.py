@@ -46,11 +46,11 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.unionByName(probe).withColumn("message_id", F.monotonically_increasing_id().cast("string"))
     text = F.coalesce("text", F.lit(""))
     cut = (F.char_length(text) / 2).cast("int")
-    head, tail = F.substring(text, F.lit(1), cut), F.substring(text, cut + 1, F.char_length(text))
+    head, tail, draft = F.substring(text, F.lit(1), cut), F.substring(text, cut + 1, F.char_length(text)), F.substring(text, F.lit(1), F.lit(16))
     event = lambda at, kind, t: F.struct((F.col("turn") * 4 + at).alias("seq"), F.lit(kind).alias("kind"), t.alias("text"))
     user = F.array(event(0, "message", F.lit("")), event(1, "delta", head), event(2, "delta", tail))
-    again = F.array(event(0, "message", head), event(1, "regenerate", F.lit("")), event(2, "delta", head), event(3, "delta", tail))
-    edited = F.array(event(0, "message", tail), event(1, "edit", text))
+    again = F.array(event(0, "message", draft), event(1, "regenerate", F.lit("")), event(2, "delta", head), event(3, "delta", tail))
+    edited = F.array(event(0, "message", draft), event(1, "edit", text))
     log = F.when(F.col("turn").isNull(), F.array(event(0, "message", text))).when(F.coalesce(F.col("role") != "assistant", F.lit(True)), user).when(F.col("turn") % 4 == 1, again).otherwise(edited)
     events = rows.select("conv_id", "message_id", "role", F.explode(log).alias("e")).select("conv_id", "e.seq", "e.kind", "message_id", "role", "e.text")
     return chat.digest(chat.render(chat.fold(events)))

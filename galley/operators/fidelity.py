@@ -31,10 +31,13 @@ def grams(text: Column, n: int = 3) -> Column:
 def placement(matches: DataFrame, keys: list[str], dx: Column, dy: Column) -> DataFrame:
     """Percentiles (linear) of |dx| and |dy|, and the shares within 2 and 5 points."""
     far = F.sqrt(dx * dx + dy * dy)
-    return matches.groupBy(*keys).agg(
-        F.percentile(F.abs(dx), 0.5).alias("dx_p50"), F.percentile(F.abs(dx), 0.9).alias("dx_p90"), F.percentile(F.abs(dy), 0.5).alias("dy_p50"), F.percentile(F.abs(dy), 0.9).alias("dy_p90"),
+    both = F.array(F.lit(0.5), F.lit(0.9))
+    made = matches.groupBy(*keys).agg(
+        F.percentile(F.abs(dx), both).alias("__dx"), F.percentile(F.abs(dy), both).alias("__dy"),
         F.avg((far <= 2).cast("int")).alias("within2pt"), F.avg((far <= 5).cast("int")).alias("within5pt"), F.count("*").alias("n"),
     )
+    each = [F.col(f"__{d}")[i].alias(f"{d}_p{p}") for d in ("dx", "dy") for i, p in enumerate((50, 90))]
+    return made.select(*keys, *each, "within2pt", "within5pt", "n")
 
 
 def greedy_matches(candidates: DataFrame, keys: list[str]) -> DataFrame:

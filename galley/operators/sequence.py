@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from galley import tunables as K
+
 
 def islands(df: DataFrame, by: list[str], order: list[str | Column], breaks: Callable[[Callable[[str], Column]], Column], name: str = "island") -> DataFrame:
     """df with the number (from 0) of the run that a row is in; breaks(previous) says whether a row begins a new one, previous(c) being c of the row before."""
@@ -68,3 +70,11 @@ def running(df: DataFrame, by: list[str], order: list[str | Column], value: Colu
     """df with the sum of value up to each row (before: without the row itself)."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)))
+
+
+def letter_spaced(glyphs: DataFrame, keys: list[str], em: str, glyph: str, least: int = 3) -> DataFrame:
+    """(keys, mid, tracked) of runs of glyphs with at least so many gaps (em, null before the first): the median gap, and whether gaps are wide and even between letters."""
+    s = glyphs.groupBy(*keys).agg(F.percentile(em, 0.5).alias("mid"), F.avg(F.col(glyph).rlike("^[A-Za-z]$").cast("int")).alias("__alpha"), F.count(em).alias("__n"), F.collect_list(em).alias("__g"))
+    even = F.size(F.filter("__g", lambda x: F.abs(x - F.col("mid")) <= 0.05)) / F.size("__g")
+    tracked = (F.col("mid") >= K.TRACK_LOW) & (F.col("mid") < K.TRACK_HIGH) & (F.col("__alpha") >= K.TRACK_ALPHA) & (even >= K.TRACK_UNIFORM)
+    return s.where(F.col("__n") >= least).select(*keys, "mid", tracked.alias("tracked"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from galley import tunables as K
 from galley.functions.geometry import Box
 from galley.operators.graph import connected_components
 
@@ -93,3 +94,13 @@ def merged_boxes(boxes: DataFrame, keys: list[str], ident: str, within: float, c
         if nxt.count() == now.count():
             return nxt
         now = nxt
+
+
+def row_pairs(rows: DataFrame, keys: list[str], col_l: float, col_r: float) -> DataFrame:
+    """rows (lx0, lx1, rx0, rx1 of two halves) with pair: left half flush left, right half flush right, and far enough apart; none where too large a share of the keys' rows would pair."""
+    width = col_r - col_l
+    fits = (F.col("lx0") <= col_l + K.PAIR_LEFT) & (F.col("rx1") >= col_r - K.PAIR_RIGHT) & (F.col("rx0") - F.col("lx1") >= K.PAIR_GAP)
+    sized = (F.col("rx1") - F.col("rx0") <= K.PAIR_RIGHT_SHARE * width) & (F.col("lx1") - F.col("lx0") >= K.PAIR_LEFT_SHARE * width)
+    one = rows.withColumn("__p", F.coalesce(fits & sized, F.lit(False)))
+    page = Window.partitionBy(*keys)
+    return one.withColumn("pair", F.col("__p") & (F.sum(F.col("__p").cast("int")).over(page) <= K.PAIR_MOST * F.count("*").over(page))).drop("__p")

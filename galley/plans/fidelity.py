@@ -10,6 +10,7 @@ from galley.functions import text as T
 from galley.operators import fidelity as D
 from galley.plans import views as V
 from galley.plans.registry import query
+from galley.plans.spatial import page_votes
 
 #: A rendering of the words: shifted by closed formulas, every eleventh word lost.
 RENDERED = "rendered AS (SELECT doc_id, page, i, word, x0 + 0.25::DOUBLE * (i % 7) AS x0, y0 + 0.5::DOUBLE * (i % 5) AS y0 FROM words WHERE i % 11 <> 3)"
@@ -45,7 +46,7 @@ FROM a LEFT JOIN a b ON b.doc_id = a.doc_id + 1 AND b.word = a.word GROUP BY a.d
 """)
 def word_recall_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of a document's words that the next one has, page by page or not, with repeats."""
-    w = V.words(spark, sf_dir).select("doc_id", "word")
+    w = V.table(spark, sf_dir, "documents").select("doc_id", F.explode(T.words(F.col("text"))).alias("word"))
     made = D.multiset_share(w, w.select((F.col("doc_id") - 1).alias("doc_id"), "word"), ["doc_id"], "word", "recall")
     return made.select("doc_id", "matched", "total", F.round("recall", 9).alias("recall"))
 
@@ -145,10 +146,8 @@ def height_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def page_map_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of a document (sources and their documents stand in) to rendered pages that never go back."""
-    votes = V.table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("page"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
-    votes = votes.select("source", "page", ((F.col("page") * 7 + F.col("k") * 13) % 40 + F.col("page") / 50).cast("bigint").alias("rendered"), ((F.col("page") + F.col("k")) % 6).alias("votes")).where("votes > 0")
-    return D.monotone_pages(votes, ["source"])
+    """Pages of a document to pages of its rendering that never go back, by the votes of distinctive lines."""
+    return D.monotone_pages(page_votes(spark, sf_dir), ["doc_id"])
 
 
 @query(rf"""

@@ -169,8 +169,8 @@ def prediction_grading(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH f AS (SELECT l_suppkey % 7 AS backend, l_orderkey AS doc, count(*) AS n_draws, count(*) FILTER (l_quantity <= 9) AS n_glyphs, count(DISTINCT l_returnflag) AS n_fills FROM lineitem GROUP BY ALL)
-SELECT a.doc, a.n_draws, b.n_draws AS other, a.n_draws / greatest(1, b.n_draws) AS ratio FROM f a JOIN f b ON a.doc = b.doc AND a.backend = 0 AND b.backend = 1
+WITH f AS (SELECT l_suppkey % 2 AS backend, l_orderkey AS doc, count(*) AS n_draws FROM lineitem GROUP BY ALL), a AS (SELECT * FROM f WHERE backend = 0), b AS (SELECT * FROM f WHERE backend = 1)
+SELECT coalesce(a.doc, b.doc) AS doc, a.n_draws, b.n_draws AS other, a.n_draws / greatest(1, b.n_draws) + 0 * b.n_draws AS ratio FROM a FULL JOIN b ON a.doc = b.doc
 """)
 def backend_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of two backends' drawings, document by document; a backend that has none of a document has a null count."""

@@ -14,20 +14,16 @@ from galley.plans.registry import query
 
 
 @query(rf"""
-WITH {V.WORDS}, g AS (SELECT doc_id, page, line, word, (x0 - lag(x1) OVER (PARTITION BY doc_id, page, line ORDER BY slot)) / size AS gap FROM words),
-s AS (SELECT doc_id, page, line, quantile_cont(gap, 0.5) AS mid, avg(CAST(regexp_matches(word, '^[A-Za-z]+$') AS INTEGER)) AS alpha, count(gap) AS n FROM g GROUP BY ALL),
-u AS (SELECT g.doc_id, g.page, g.line, avg(CAST(abs(gap - mid) <= 0.5 AS INTEGER)) AS uniform FROM g JOIN s USING (doc_id, page, line) WHERE gap IS NOT NULL GROUP BY ALL)
-SELECT doc_id, page, line, round(mid, 6) AS mid, mid >= 0.05 AND mid < 2.4 AND alpha >= 0.6 AND uniform >= 0.4 AS tracked FROM s JOIN u USING (doc_id, page, line) WHERE n >= 3
+WITH {V.WORDS}, c AS (SELECT doc_id, i, size, word[k] AS u, k, CASE WHEN i % 7 = 0 THEN 0.12::DOUBLE WHEN i % 7 = 1 THEN 0.04 * (k % 3) ELSE 0.0 END AS gap FROM (SELECT *, unnest(range(1, length(word) + 1)) AS k FROM words)),
+g AS (SELECT *, CASE WHEN k > 1 THEN gap END AS em FROM c), s AS (SELECT doc_id, i, quantile_cont(em, 0.5) AS mid, avg(CAST(regexp_matches(u, '^[A-Za-z]$') AS INTEGER)) AS alpha, count(em) AS n FROM g GROUP BY ALL),
+u AS (SELECT g.doc_id, g.i, avg(CAST(abs(em - mid) <= 0.05 AS INTEGER)) AS uniform FROM g JOIN s USING (doc_id, i) WHERE em IS NOT NULL GROUP BY ALL)
+SELECT doc_id, i, round(mid, 6) AS mid, mid >= 0.05 AND mid < 0.24 AND alpha >= 0.85 AND uniform >= 0.7 AS tracked FROM s JOIN u USING (doc_id, i) WHERE n >= 3
 """)
 def letter_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows whose gaps are wide and even and whose glyphs are letters; words stand for glyphs."""
-    row = ["doc_id", "page", "line"]
-    gap = (F.col("x0") - F.lag("x1").over(Window.partitionBy(*row).orderBy("slot"))) / F.col("size")
-    g = V.words(spark, sf_dir).select(*row, "word", gap.alias("gap"))
-    s = g.groupBy(*row).agg(F.percentile("gap", 0.5).alias("mid"), F.avg(F.col("word").rlike("^[A-Za-z]+$").cast("int")).alias("alpha"), F.count("gap").alias("n"))
-    u = g.where("gap is not null").join(s, row).groupBy(*row).agg(F.avg((F.abs(F.col("gap") - F.col("mid")) <= 0.5).cast("int")).alias("uniform"))
-    tracked = (F.col("mid") >= 0.05) & (F.col("mid") < 2.4) & (F.col("alpha") >= 0.6) & (F.col("uniform") >= 0.4)
-    return s.join(u, row).where("n >= 3").select(*row, F.round("mid", 6).alias("mid"), tracked.alias("tracked"))
+    """Words whose glyphs stand wide and even apart and are letters; every seventh word is set so."""
+    words = V.words(spark, sf_dir).select("doc_id", "i", F.posexplode(F.regexp_extract_all("word", F.lit("(?s)."), F.lit(0))).alias("k", "u"))
+    gap = F.when(F.col("i") % 7 == 0, 0.12).when(F.col("i") % 7 == 1, 0.04 * ((F.col("k") + 1) % 3)).otherwise(0.0)
+    return S.letter_spaced(words.withColumn("em", F.when(F.col("k") > 0, gap)), ["doc_id", "i"], "em", "u").select("doc_id", "i", F.round("mid", 6).alias("mid"), "tracked")
 
 
 @query(rf"""
@@ -74,10 +70,10 @@ def continuation_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-WITH {V.WORDS}, f AS (SELECT *, regexp_matches(word, '^[A-Z]') AS rtl FROM words WHERE page = 1), b AS (SELECT *, coalesce(rtl <> lag(rtl) OVER (PARTITION BY doc_id, line ORDER BY slot), false) AS brk FROM f),
-r AS (SELECT *, sum(CAST(brk AS INTEGER)) OVER (PARTITION BY doc_id, line ORDER BY slot) AS run FROM b),
+WITH {V.WORDS}, f AS (SELECT *, regexp_matches(word, '^[A-Z]') AS rtl FROM words), b AS (SELECT *, coalesce(rtl <> lag(rtl) OVER (PARTITION BY doc_id, page, line ORDER BY slot), false) AS brk FROM f),
+r AS (SELECT *, sum(CAST(brk AS INTEGER)) OVER (PARTITION BY doc_id, page, line ORDER BY slot) AS run FROM b),
 o AS (SELECT *, CASE WHEN rtl THEN -slot ELSE slot END AS k FROM r)
-SELECT doc_id, line, md5(string_agg(word, ' ' ORDER BY run, k)) AS visual FROM o GROUP BY doc_id, line
+SELECT doc_id, page, line, md5(string_agg(word, ' ' ORDER BY run, k)) AS visual FROM o GROUP BY doc_id, page, line
 """)
 def rtl_runs_reversed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of right-to-left words in visual order; capitals stand for such a script."""

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from galley import tunables as K
 from galley.functions import text as T
 from galley.operators import sequence as S
 from galley.plans import views as V
@@ -59,7 +60,7 @@ def order_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {V.WORDS}, {V.LINES}, g AS (SELECT doc_id, size, baseline - lag(baseline) OVER (PARTITION BY doc_id, page ORDER BY baseline) AS gap FROM lines),
 k AS (SELECT doc_id, size, list_sort(list(gap)) AS l, count(*) AS n FROM g WHERE gap > 0 AND gap < 60 GROUP BY doc_id, size)
 SELECT d.doc_id, s.size, coalesce(CASE WHEN k.n >= 3 THEN k.l[greatest(0, CAST(floor(0.2 * k.n) AS BIGINT) - 1) + 1] END, 12.0) AS pitch
-FROM (SELECT DISTINCT doc_id FROM lines) d CROSS JOIN (SELECT unnest([10.0::DOUBLE, 12.0::DOUBLE]) AS size) s LEFT JOIN k ON k.doc_id = d.doc_id AND k.size = s.size
+FROM (SELECT DISTINCT doc_id FROM lines) d CROSS JOIN (SELECT unnest([10.0::DOUBLE, 14.0::DOUBLE]) AS size) s LEFT JOIN k ON k.doc_id = d.doc_id AND k.size = s.size
 """)
 def body_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pitch of each size: a low order statistic of baseline gaps, 12 where there are fewer than three."""
@@ -67,7 +68,7 @@ def body_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     gap = F.col("baseline") - F.lag("baseline").over(Window.partitionBy("doc_id", "page").orderBy("baseline"))
     gaps = lines.select("doc_id", "size", gap.alias("gap")).where("gap > 0 AND gap < 60")
     found = S.low_fifth(gaps, ["doc_id", "size"], "gap", "pitch").where("n >= 3").drop("n")
-    each = lines.select("doc_id").distinct().select("doc_id", F.explode(F.array(F.lit(10.0), F.lit(12.0))).alias("size"))
+    each = lines.select("doc_id").distinct().select("doc_id", F.explode(F.array(F.lit(10.0), F.lit(14.0))).alias("size"))
     return each.join(found, ["doc_id", "size"], "left").select("doc_id", "size", F.coalesce("pitch", F.lit(12.0)).alias("pitch"))
 
 
@@ -125,7 +126,7 @@ def hyphenation_census(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"""
 WITH {V.WORDS}, {V.LINES}, d AS (SELECT *, lag(baseline) OVER w AS pb, lag(size) OVER w AS ps, lag(x1) OVER w AS px FROM lines WINDOW w AS (PARTITION BY doc_id, page ORDER BY line)),
-f AS (SELECT *, coalesce(baseline - pb > greatest(1.55 * 14, 14 + 4) OR greatest(size, ps) / least(size, ps) > 1.15 OR px < 400, false) AS brk FROM d),
+f AS (SELECT *, coalesce(baseline - pb > greatest(1.55 * 14, 14 + 4) OR greatest(size, ps) / least(size, ps) > 1.3 OR px < 400, false) AS brk FROM d),
 p AS (SELECT *, sum(CAST(brk AS INTEGER)) OVER (PARTITION BY doc_id, page ORDER BY line ROWS UNBOUNDED PRECEDING) AS para FROM f)
 SELECT doc_id, page, CAST(para AS BIGINT) AS para, min(line) AS first_line, count(*) AS n_lines, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM p GROUP BY doc_id, page, para
 """)
@@ -135,7 +136,7 @@ def paragraph_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     lead = F.lit(14.0)
     made = S.islands(
         lines, ["doc_id", "page"], ["line"],
-        lambda prev: (F.col("baseline") - prev("baseline") > F.greatest(1.55 * lead, lead + 4)) | (F.greatest("size", prev("size")) / F.least("size", prev("size")) > 1.15) | (prev("x1") < 400), "para",
+        lambda prev: (F.col("baseline") - prev("baseline") > F.greatest(K.LEAD_RATIO * lead, lead + K.LEAD_PLUS)) | (F.greatest("size", prev("size")) / F.least("size", prev("size")) > K.SIZE_JUMP) | (prev("x1") < 400), "para",
     )
     return made.groupBy("doc_id", "page", "para").agg(F.min("line").alias("first_line"), F.count("*").alias("n_lines"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
@@ -182,11 +183,16 @@ f AS (SELECT *, pages > 40000 AS failed FROM r)
 SELECT doc_id, source, CAST(pages AS BIGINT) AS pages, CASE WHEN coalesce(bool_or(failed) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) THEN 'skipped' WHEN failed THEN 'failed' ELSE 'converted' END AS status FROM f
 """)
 def batch_page_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A batch stops at the document that crosses its page limit. Sources stand for batches, characters for pages."""
-    made = S.running(V.table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), ["source"], ["doc_id"], F.col("n_chars"), "pages")
-    failed = F.col("pages") > 40000
-    earlier = F.max(failed).over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    return made.select("doc_id", "source", "pages", F.when(F.coalesce(earlier, F.lit(False)), "skipped").when(failed, "failed").otherwise("converted").alias("status"))
+    """A batch stops at the document that crosses its page limit. Sources stand for batches, characters for pages.
+
+    Ranges of a thousand ids are summed first, so that no task holds a whole batch.
+    """
+    rows = V.table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.floor(F.col("doc_id") / 1000).alias("part"))
+    before = S.running(rows.groupBy("source", "part").agg(F.sum("n_chars").alias("c")), ["source"], ["part"], F.col("c"), "before", before=True).drop("c")
+    made = S.running(rows, ["source", "part"], ["doc_id"], F.col("n_chars"), "own").join(before, ["source", "part"])
+    pages = F.col("own") + F.col("before")
+    status = F.when(pages - F.col("n_chars") > 40000, "skipped").when(pages > 40000, "failed").otherwise("converted")
+    return made.select("doc_id", "source", pages.alias("pages"), status.alias("status"))
 
 
 @query(r"""
@@ -213,26 +219,34 @@ def first_wins_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-WITH {V.WORDS}, s AS (SELECT doc_id, max(size) AS size, avg(CAST(length(word) > 9 AS INTEGER)) AS bold, count(*) AS n, sum(length(word)) AS chars FROM words GROUP BY doc_id),
-h AS (SELECT doc_id, round_even(size * (1 + n % 5), 1) AS size FROM s WHERE size >= 1.12 * 10 AND chars < 2000)
-SELECT doc_id, size, CAST(least(6, dense_rank() OVER (ORDER BY size DESC)) AS INTEGER) AS level FROM h
+WITH {V.WORDS}, p AS (SELECT doc_id, page, line // 3 AS para, max(size) AS size, count(DISTINCT line) AS n_lines, sum(length(word)) AS chars, sum(length(word)) FILTER (length(word) > 4) AS bold FROM words GROUP BY ALL),
+h AS (SELECT doc_id, page, para, round_even(size + chars % 5, 1) AS size FROM p WHERE size >= 1.12 * 10 AND bold >= 0.6 * chars AND n_lines <= 3 AND chars < 200)
+SELECT doc_id, page, para, size, CAST(least(6, dense_rank() OVER (ORDER BY size DESC)) AS INTEGER) AS level FROM h
 """)
 def heading_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Levels 1 to 6 of headings by distinct size, the largest first. Only distinct sizes are put in order."""
-    by_doc = V.words(spark, sf_dir).groupBy("doc_id").agg(F.max("size").alias("s"), F.count("*").alias("n"), F.sum(F.length("word")).alias("chars"))
-    found = by_doc.where((F.col("s") >= 1.12 * 10) & (F.col("chars") < 2000)).select("doc_id", F.bround(F.col("s") * (1 + F.col("n") % 5), 1).alias("size"))
+    """Levels 1 to 6 of headings by distinct size, the largest first. Three lines stand for a paragraph, words of five letters or more for bold ones. Only distinct sizes are put in order."""
+    p = V.words(spark, sf_dir).groupBy("doc_id", "page", F.floor(F.col("line") / 3).cast("int").alias("para"))
+    p = p.agg(F.max("size").alias("size"), F.count_distinct("line").alias("n_lines"), F.sum(F.length("word")).alias("chars"), F.sum(F.when(F.length("word") > 4, F.length("word"))).alias("bold"))
+    fit = (F.col("size") >= K.HEADING_RATIO * 10) & (F.col("bold") >= K.HEADING_BOLD * F.col("chars")) & (F.col("n_lines") <= K.HEADING_LINES) & (F.col("chars") < K.HEADING_CHARS)
+    found = p.where(fit).select("doc_id", "page", "para", F.bround(F.col("size") + F.col("chars") % 5, 1).alias("size"))
     ranks = found.select("size").distinct().withColumn("level", F.least(F.lit(6), F.row_number().over(Window.orderBy(F.desc("size")))).cast("int"))
-    return found.join(ranks, "size").select("doc_id", "size", "level")
+    return found.join(ranks, "size").select("doc_id", "page", "para", "size", "level")
 
 
 @query(r"""
-SELECT source, sha256(string_agg(doc_id || ':' || sha256(coalesce(text, '')), chr(10) ORDER BY doc_id)) AS fingerprint, count(*) AS n FROM documents GROUP BY source
+WITH r AS (SELECT source, doc_id // 1000 AS part, sha256(string_agg(doc_id || ':' || sha256(coalesce(text, '')), chr(10) ORDER BY doc_id)) AS h, count(*) AS n FROM documents GROUP BY ALL)
+SELECT source, sha256(string_agg(h, chr(10) ORDER BY part)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY source
 """)
 def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A hash over the documents of a source in order; each goes in as a hash of fixed length."""
-    rows = V.table(spark, sf_dir, "documents").select("source", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
-    all_ = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "h"))), lambda x: F.concat(x["doc_id"].cast("string"), F.lit(":"), x["h"])), "\n")
-    return rows.groupBy("source").agg(F.sha2(all_, 256).alias("fingerprint"), F.count("*").alias("n"))
+    """A hash over the documents of a source in order: of ranges of a thousand ids first, then of the ranges' hashes."""
+    rows = V.table(spark, sf_dir, "documents").select("source", "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.sha2(F.coalesce("text", F.lit("")), 256)).alias("h"))
+
+    def over(df: DataFrame, by: list[str], at: str, n: Column) -> DataFrame:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, "h"))), lambda x: x["h"]), "\n")
+        return df.groupBy(*by).agg(F.sha2(joined, 256).alias("h"), n.alias("n"))
+
+    ranges = over(rows.withColumn("part", F.floor(F.col("doc_id") / 1000)), ["source", "part"], "doc_id", F.count("*"))
+    return over(ranges, ["source"], "part", F.sum("n")).select("source", F.col("h").alias("fingerprint"), "n")
 
 
 @query(rf"""

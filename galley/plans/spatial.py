@@ -10,6 +10,7 @@ from galley.functions.geometry import Box
 from galley.operators import sequence as S
 from galley.operators import spatial as X
 from galley.operators.tables import keep
+from galley import tunables as K
 from galley.plans import views as V
 from galley.plans.registry import query
 
@@ -26,7 +27,7 @@ def rects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"""
 WITH {V.WORDS}, {RECTS}
-SELECT w.doc_id, w.i, min(r.idx) AS link FROM words w JOIN rects r ON (w.x0 + w.x1) / 2 BETWEEN r.x0 AND r.x1 AND (w.y0 + w.y1) / 2 BETWEEN r.y0 AND r.y1 WHERE w.page = 1 GROUP BY w.doc_id, w.i
+SELECT w.doc_id, w.i, min(r.idx) AS link FROM words w JOIN rects r ON (w.x0 + w.x1) / 2 BETWEEN r.x0 AND r.x1 AND (w.y0 + w.y1) / 2 BETWEEN r.y0 AND r.y1 GROUP BY w.doc_id, w.i
 """)
 def char_in_rect_first_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first link whose rectangle holds a glyph's centre."""
@@ -36,9 +37,9 @@ def char_in_rect_first_link(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"""
 WITH {V.WORDS}, {V.LINES}, {RECTS}
-SELECT l.doc_id, l.line, r.idx, (least(l.x1, r.x1) - greatest(l.x0, r.x0)) * (least(l.y1, r.y1) - greatest(l.y0, r.y0)) AS overlap FROM lines l JOIN rects r
+SELECT l.doc_id, l.page, l.line, r.idx, (least(l.x1, r.x1) - greatest(l.x0, r.x0)) * (least(l.y1, r.y1) - greatest(l.y0, r.y0)) AS overlap FROM lines l JOIN rects r
     ON (least(l.x1, r.x1) - greatest(l.x0, r.x0)) > 0 AND (least(l.y1, r.y1) - greatest(l.y0, r.y0)) > 0
-    AND (least(l.x1, r.x1) - greatest(l.x0, r.x0)) * (least(l.y1, r.y1) - greatest(l.y0, r.y0)) > 0.2 * (l.x1 - l.x0) * (l.y1 - l.y0) WHERE l.page = 1
+    AND (least(l.x1, r.x1) - greatest(l.x0, r.x0)) * (least(l.y1, r.y1) - greatest(l.y0, r.y0)) > 0.55 * (l.x1 - l.x0) * (l.y1 - l.y0)
 """)
 def lines_in_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that a rectangle covers by more than a share of their area."""
@@ -46,12 +47,12 @@ def lines_in_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = pre(V.lines(spark, sf_dir).select("doc_id", "page", "line", "x0", "y0", "x1", "y1"), "l_")
     both = X.boxes_over_boxes(lines, pre(rects(spark, sf_dir), "r_"), [])
     left = Box.of("l_")
-    return both.withColumn("overlap", left.overlap(Box.of("r_"))).where(F.col("overlap") > 0.2 * left.area()).select("doc_id", "page", "line", "idx", "overlap")
+    return both.withColumn("overlap", left.overlap(Box.of("r_"))).where(F.col("overlap") > K.COVERED * left.area()).select("doc_id", "page", "line", "idx", "overlap")
 
 
 @query(rf"""
 WITH {V.WORDS}, {RECTS}
-SELECT doc_id, w.i, bool_or(r.idx IS NOT NULL) AS underlined FROM words w LEFT JOIN rects r ON r.x0 <= w.x0 + 1 AND r.x1 >= w.x1 - 1 AND r.y1 - w.baseline BETWEEN -1 AND 5 WHERE w.page = 1 GROUP BY doc_id, w.i
+SELECT doc_id, w.i, bool_or(r.idx IS NOT NULL) AS underlined FROM words w LEFT JOIN rects r ON r.x0 <= w.x0 + 1 AND r.x1 >= w.x1 - 1 AND r.y1 - w.baseline BETWEEN -1 AND 5 GROUP BY doc_id, w.i
 """)
 def underline_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans just above a rule (the lower edge of a rectangle) that reaches over them."""
@@ -104,7 +105,7 @@ def band_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-WITH {V.WORDS}, c AS (SELECT doc_id, i, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM words WHERE page = 1)
+WITH {V.WORDS}, c AS (SELECT doc_id, i, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM words)
 SELECT doc_id, i, CASE WHEN cx BETWEEN 71 AND 201 THEN 0 WHEN cx BETWEEN 199 AND 351 THEN 1 WHEN cx BETWEEN 349 AND 501 THEN 2 END AS col, CASE WHEN cy BETWEEN 71 AND 301 THEN 0 WHEN cy BETWEEN 299 AND 601 THEN 1 END AS row FROM c
 """)
 def cell_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,19 +129,20 @@ def shading_first_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-WITH {V.WORDS}, r AS (SELECT doc_id, page, line, max(x1) FILTER (slot < 5) AS lx1, min(x0) FILTER (slot < 5) AS lx0, max(x1) FILTER (slot >= 7) AS rx1, min(x0) FILTER (slot >= 7) AS rx0, count(*) AS n FROM words WHERE slot < 2 OR slot >= 9 GROUP BY ALL),
-p AS (SELECT *, lx0 <= 72 + 12 AND rx1 >= 540 - 3.5 AND rx0 - lx1 >= 12 AND rx1 - rx0 <= 0.3 * 468 AS pair FROM r)
-SELECT doc_id, page, line, coalesce(pair, false) AND sum(CAST(coalesce(pair, false) AS INTEGER)) OVER (PARTITION BY doc_id, page) <= 0.35 * count(*) OVER (PARTITION BY doc_id, page) AS pair FROM p
+WITH {V.WORDS}, h AS (SELECT *, x0 + CASE WHEN (doc_id + line) % 4 = 0 AND slot >= 3 THEN 232.0::DOUBLE + 46.5 * (2 - n) ELSE 0 END AS a FROM (SELECT *, max(slot) OVER (PARTITION BY doc_id, page, line) - 3 AS n FROM words WHERE slot < 5)),
+r AS (SELECT doc_id, page, line, min(a) AS lx0, max(a + x1 - x0) FILTER (slot < 3) AS lx1, min(a) FILTER (slot >= 3) AS rx0, max(CASE WHEN (doc_id + line) % 4 = 0 AND slot >= 3 THEN greatest(a + x1 - x0, 540) ELSE a + x1 - x0 END) AS rx1 FROM h GROUP BY ALL),
+p AS (SELECT *, coalesce(lx0 <= 72 + 12 AND rx1 >= 540 - 3.5 AND rx0 - lx1 >= 12 AND rx1 - rx0 <= 0.3 * 468 AND lx1 - lx0 >= 0.2 * 468, false) AS pair FROM r)
+SELECT doc_id, page, line, pair AND sum(CAST(pair AS INTEGER)) OVER (PARTITION BY doc_id, page) <= 0.35 * count(*) OVER (PARTITION BY doc_id, page) AS pair FROM p
 """)
 def row_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of two halves, left flush and right flush; a page where more than 35 % would pair has none."""
-    w = V.words(spark, sf_dir).where("slot < 2 OR slot >= 9")
-    left, right = F.col("slot") < 5, F.col("slot") >= 7
-    r = w.groupBy("doc_id", "page", "line").agg(F.max(F.when(left, F.col("x1"))).alias("lx1"), F.min(F.when(left, F.col("x0"))).alias("lx0"), F.max(F.when(right, F.col("x1"))).alias("rx1"), F.min(F.when(right, F.col("x0"))).alias("rx0"))
-    pair = F.coalesce((F.col("lx0") <= 84) & (F.col("rx1") >= 536.5) & (F.col("rx0") - F.col("lx1") >= 12) & (F.col("rx1") - F.col("rx0") <= 0.3 * 468), F.lit(False))
-    page = Window.partitionBy("doc_id", "page")
-    r = r.withColumn("p", pair)
-    return r.select("doc_id", "page", "line", (F.col("p") & (F.sum(F.col("p").cast("int")).over(page) <= 0.35 * F.count("*").over(page))).alias("pair"))
+    """Rows of two halves, left flush and right flush; a page where more than 35 % would pair has none. In every fourth row the words behind the third are set right."""
+    w = V.words(spark, sf_dir).where("slot < 5").withColumn("n", F.max("slot").over(Window.partitionBy("doc_id", "page", "line")) - 3)
+    moved = ((F.col("doc_id") + F.col("line")) % 4 == 0) & (F.col("slot") >= 3)
+    w = w.withColumn("a", F.col("x0") + F.when(moved, 232.0 + 46.5 * (2 - F.col("n"))).otherwise(0.0))
+    end = F.col("a") + F.col("x1") - F.col("x0")
+    left = F.col("slot") < 3
+    r = w.groupBy("doc_id", "page", "line").agg(F.min("a").alias("lx0"), F.max(F.when(left, end)).alias("lx1"), F.min(F.when(~left, F.col("a"))).alias("rx0"), F.max(F.when(moved, F.greatest(end, F.lit(540.0))).otherwise(end)).alias("rx1"))
+    return X.row_pairs(r, ["doc_id", "page"], 72.0, 540.0).select("doc_id", "page", "line", "pair")
 
 
 @query(rf"""
@@ -148,16 +150,18 @@ WITH {V.WORDS}, {V.LINES}, b AS (SELECT doc_id, page, unnest(range(CAST(floor(x0
 SELECT doc_id, page, bin, count(*) AS n FROM b GROUP BY ALL
 """)
 def projection_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many words cover each point across a page. Spans are counted before they are spread over their points."""
-    spans = V.words(spark, sf_dir).groupBy("doc_id", "page", F.floor("x0").alias("a"), F.floor("x1").alias("b")).agg(F.count("*").alias("c"))
-    bins = spans.where("b > a").select("doc_id", "page", "c", F.explode(F.sequence("a", F.col("b") - 1)).alias("bin"))
-    return bins.groupBy("doc_id", "page", "bin").agg(F.sum("c").alias("n"))
+    """How many words cover each point across a page: spans count at their ends alone, and a running sum fills the points between."""
+    ends = F.inline(F.array(F.struct(F.floor("x0").alias("bin"), F.lit(1).alias("d")), F.struct(F.floor("x1").alias("bin"), F.lit(-1).alias("d"))))
+    steps = V.words(spark, sf_dir).select("doc_id", "page", ends).groupBy("doc_id", "page", "bin").agg(F.sum("d").alias("d"))
+    along = Window.partitionBy("doc_id", "page").orderBy("bin")
+    made = steps.select("doc_id", "page", "bin", F.sum("d").over(along).alias("n"), F.lead("bin").over(along).alias("until")).where("n > 0")
+    return made.select("doc_id", "page", F.explode(F.sequence("bin", F.col("until") - 1)).alias("bin"), "n")
 
 
 @query(rf"""
 WITH {V.WORDS}, r AS (SELECT doc_id, page, line, slot // 4 AS part, min(x0) AS x0, max(x1) AS x1 FROM words GROUP BY ALL), g AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page, line) AS arity, lag(x1) OVER (PARTITION BY doc_id, page, line ORDER BY x0) AS px FROM r),
 v AS (SELECT doc_id, page, arity, round_even((x0 + px) / 2 / 4, 0) AS key, count(*) AS votes FROM g WHERE x0 - px >= 1 AND arity BETWEEN 2 AND 3 GROUP BY ALL), n AS (SELECT doc_id, page, arity, count(DISTINCT line) AS rows FROM g GROUP BY ALL)
-SELECT v.doc_id, v.page, v.arity, v.key, v.votes, n.rows FROM v JOIN n USING (doc_id, page, arity) WHERE n.rows >= 3 AND v.votes >= greatest(3, 0.2 * n.rows)
+SELECT v.doc_id, v.page, v.arity, v.key, v.votes, n.rows FROM v JOIN n USING (doc_id, page, arity) WHERE n.rows >= 3 AND v.votes >= greatest(3, 0.6 * n.rows)
 """)
 def gutter_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows vote for the gaps between their parts; a gutter needs three votes and a share of the rows of its arity."""
@@ -166,7 +170,7 @@ def gutter_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = r.withColumns({"arity": F.count("*").over(row), "px": F.lag("x1").over(row.orderBy("x0"))})
     rows = g.groupBy("doc_id", "page", "arity").agg(F.count_distinct("line").alias("rows"))
     votes = g.where((F.col("x0") - F.col("px") >= 1) & F.col("arity").between(2, 3)).groupBy("doc_id", "page", "arity", F.bround((F.col("x0") + F.col("px")) / 2 / 4, 0).alias("key")).agg(F.count("*").alias("votes"))
-    return votes.join(rows, ["doc_id", "page", "arity"]).where((F.col("rows") >= 3) & (F.col("votes") >= F.greatest(F.lit(3.0), 0.2 * F.col("rows"))))
+    return votes.join(rows, ["doc_id", "page", "arity"]).where((F.col("rows") >= 3) & (F.col("votes") >= F.greatest(F.lit(3.0), K.GUTTER_SHARE * F.col("rows"))))
 
 
 @query(rf"""
@@ -199,7 +203,7 @@ def drawing_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-WITH RECURSIVE d AS (SELECT p_partkey AS id, p_size % 5 AS page, 10.0::DOUBLE * (p_partkey % 97) AS x0, 10.0::DOUBLE * (p_partkey % 89) AS y0 FROM part WHERE p_size <= 20),
+WITH RECURSIVE d AS (SELECT p_partkey AS id, p_size % 5 AS page, 10.0::DOUBLE * (p_partkey % 97) AS x0, 10.0::DOUBLE * (p_partkey % 89) AS y0 FROM part),
 e AS (SELECT a.id AS a, b.id AS b FROM d a JOIN d b ON a.page = b.page AND abs(a.x0 - b.x0) <= 14 AND abs(a.y0 - b.y0) <= 14),
 r AS (SELECT id, id AS root FROM d UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id)
 SELECT id, min(root) AS component FROM r GROUP BY id
@@ -212,27 +216,45 @@ def touching_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.touching(d, ["page"], "id", 6.0, keep)
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Lines of documents, six to a page, and of a rendering of the same documents that drifts by a line in six."""
+    lines = V.text_lines(spark, sf_dir)
+    drift = F.col("n") + F.floor(F.col("n") / 6)
+    source = lines.select("doc_id", (F.floor(F.col("n") / 6) + 1).alias("page"), "n", "line")
+    return source, lines.select("doc_id", (F.floor(drift / 6) + 1).alias("rendered"), drift.alias("m"), "line")
+
+
+PAGES = f"""{V.TEXT_LINES}, src AS (SELECT doc_id, n // 6 + 1 AS page, n, line FROM text_lines), ren AS (SELECT doc_id, (n + n // 6) // 6 + 1 AS rendered, n + n // 6 AS m, line FROM text_lines)"""
+
+
+def page_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, page, rendered, votes): a page's first distinctive lines vote for the pages of the rendering that have them."""
+    source, rendered = _pages(spark, sf_dir)
+    place = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("n"))
+    first = source.where(F.length("line") >= K.DISTINCTIVE_CHARS).withColumn("place", place).where(F.col("place") <= K.VOTING_LINES)
+    return first.join(rendered.select("doc_id", "rendered", "line").distinct(), ["doc_id", "line"]).groupBy("doc_id", "page", "rendered").agg(F.count("*").alias("votes"))
+
+
 @query(rf"""
-WITH {V.TEXT_LINES}, l AS (SELECT doc_id, source, n, line FROM text_lines WHERE length(line) >= 12), v AS (SELECT a.doc_id AS page, b.doc_id AS rendered, a.n, row_number() OVER (PARTITION BY a.doc_id, b.doc_id ORDER BY a.n, b.n) AS r FROM l a JOIN l b ON a.line = b.line AND b.source = a.source AND a.doc_id < b.doc_id)
-SELECT page, rendered, count(*) AS votes FROM v WHERE r <= 5 GROUP BY page, rendered
+WITH {PAGES}, f AS (SELECT * FROM src WHERE length(line) >= 12 QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY n) <= 5)
+SELECT f.doc_id, f.page, r.rendered, count(*) AS votes FROM f JOIN (SELECT DISTINCT doc_id, rendered, line FROM ren) r ON r.doc_id = f.doc_id AND r.line = f.line GROUP BY ALL
 """)
 def page_vote_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinctive lines (12 characters) vote for the page that they are rendered on; the first five count."""
-    l = V.text_lines(spark, sf_dir).where(F.length("line") >= 12)  # noqa: E741
-    seen = l.groupBy("source", "line", "doc_id").agg(F.count("*").alias("c"))
-    pairs = seen.alias("a").join(seen.alias("b"), ["source", "line"]).where("a.doc_id < b.doc_id").groupBy(F.col("a.doc_id").alias("page"), F.col("b.doc_id").alias("rendered"))
-    return pairs.agg(F.least(F.lit(5), F.sum(F.col("a.c") * F.col("b.c"))).alias("votes"))
+    """Distinctive lines (12 characters), the first five of a page, vote for the page that they are rendered on."""
+    return page_votes(spark, sf_dir)
 
 
 @query(rf"""
-WITH {V.TEXT_LINES}, a AS (SELECT source, doc_id, line, any_value(n) AS n FROM text_lines WHERE line <> '' GROUP BY ALL HAVING count(*) = 1), d AS (SELECT a.doc_id AS page, b.doc_id AS rendered, 14.0::DOUBLE * (b.n - a.n) AS dy FROM a JOIN a b ON a.line = b.line AND a.source = b.source AND a.doc_id < b.doc_id),
-s AS (SELECT page, rendered, list_sort(list(dy)) AS l, count(*) AS n FROM d GROUP BY ALL) SELECT page, rendered, l[n // 2 + 1] AS dy, n FROM s
+WITH {PAGES}, a AS (SELECT doc_id, page, line, min(n) AS n FROM src WHERE line <> '' GROUP BY ALL HAVING count(*) = 1), b AS (SELECT doc_id, rendered, line, min(m) AS m FROM ren WHERE line <> '' GROUP BY ALL HAVING count(*) = 1),
+d AS (SELECT doc_id, page, rendered, 14.0::DOUBLE * (m - n) AS dy FROM a JOIN b USING (doc_id, line)), s AS (SELECT doc_id, page, rendered, list_sort(list(dy)) AS l, count(*) AS n FROM d GROUP BY ALL)
+SELECT doc_id, page, rendered, l[n // 2 + 1] AS dy, n FROM s
 """)
 def unique_text_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The offset of two pages: the upper median of dy over lines that are unique on both."""
-    a = V.text_lines(spark, sf_dir).where("line <> ''").groupBy("source", "doc_id", "line").agg(F.max("n").alias("n"), F.count("*").alias("c")).where("c = 1")
-    d = a.alias("a").join(a.alias("b"), ["source", "line"]).where("a.doc_id < b.doc_id").select(F.col("a.doc_id").alias("page"), F.col("b.doc_id").alias("rendered"), (14.0 * (F.col("b.n") - F.col("a.n"))).alias("dy"))
-    return S.upper_median(d, ["page", "rendered"], "dy", "dy")
+    """The offset of a page and a page of its rendering: the upper median of dy over lines that are unique on both."""
+    source, rendered = _pages(spark, sf_dir)
+    once = lambda df, page, at: df.where("line <> ''").groupBy("doc_id", page, "line").agg(F.min(at).alias(at), F.count("*").alias("c")).where("c = 1").drop("c")
+    d = once(source, "page", "n").join(once(rendered, "rendered", "m"), ["doc_id", "line"])
+    return S.upper_median(d.withColumn("dy", 14.0 * (F.col("m") - F.col("n"))), ["doc_id", "page", "rendered"], "dy", "dy")
 
 
 @query(r"""

@@ -24,7 +24,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("i")
     placed = docs.select("doc_id", "i", "word", (F.floor(i / 400) + 1).cast("int").alias("page"), (F.floor(i / 10) % 40).cast("int").alias("line"), (i % 10).alias("slot"))
     x0 = 72.0 + 46.5 * F.col("slot")
-    size = F.when(F.length("word") > 12, 12.0).otherwise(10.0)
+    size = F.when(F.length("word") > 12, 14.0).otherwise(10.0)
     return placed.withColumns(
         {"x0": x0, "y0": 72.0 + 14.0 * F.col("line"), "x1": x0 + F.least(F.lit(46.0), 5.0 * F.length("word")), "y1": 82.0 + 14.0 * F.col("line"), "baseline": 82.0 + 14.0 * F.col("line"), "size": size}
     )
@@ -34,7 +34,7 @@ WORDS = r"""words AS (
     SELECT doc_id, i, word, CAST(i // 400 + 1 AS INTEGER) AS page, CAST((i // 10) % 40 AS INTEGER) AS line, CAST(i % 10 AS INTEGER) AS slot,
         72.0::DOUBLE + 46.5::DOUBLE * (i % 10) AS x0, 72.0::DOUBLE + 14 * ((i // 10) % 40) AS y0,
         72.0::DOUBLE + 46.5::DOUBLE * (i % 10) + least(46.0::DOUBLE, 5.0::DOUBLE * length(word)) AS x1, 82.0::DOUBLE + 14 * ((i // 10) % 40) AS y1, 82.0::DOUBLE + 14 * ((i // 10) % 40) AS baseline,
-        CASE WHEN length(word) > 12 THEN 12.0::DOUBLE ELSE 10.0::DOUBLE END AS size
+        CASE WHEN length(word) > 12 THEN 14.0::DOUBLE ELSE 10.0::DOUBLE END AS size
     FROM (SELECT doc_id, w[j] AS word, CAST(j - 1 AS INTEGER) AS i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS j FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)))
 )"""
 

@@ -57,7 +57,7 @@ def test_every_page_lines_in_rect(spark, pages):
             x0, y0, x1, y1 = own[0][5], own[0][6], max(w[7] for w in own), own[0][8]
             for k, a, b, c, e in RECTS:
                 w, h = min(x1, c) - max(x0, a), min(y1, e) - max(y0, b)
-                if w > 0 and h > 0 and w * h > 0.2 * (x1 - x0) * (y1 - y0):
+                if w > 0 and h > 0 and w * h > 0.55 * (x1 - x0) * (y1 - y0):
                     want.add((d, page, line, k, w * h))
     assert max(w[1] for w in want) == 3
     assert found(spark, "lines_in_rect", sf, "doc_id", "page", "line", "idx", "overlap") == want

@@ -1,4 +1,4 @@
-"""Page-local assembly: lines from characters, blocks from lines, figures from drawings, wraps and locks.
+"""Page-local assembly: lines from characters, blocks from lines, scripts, wraps and locks.
 
 These are folds whose steps depend on what earlier ones consumed, so a page (at most a few thousand
 objects) is one call of a pandas function; documents and pages are what is dealt out.
@@ -10,8 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 
 def per_page(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str, keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
@@ -87,37 +86,6 @@ def absorb_scripts(lines: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[*lines.columns, "sup"])
 
 
-def cluster_class(n: Column, n_art: Column, n_h: Column, n_v: Column, n_fills: Column, same_row: Column, same_column: Column, bars: Column) -> Column:
-    """figure, grid, cards, stripes, boxlike or loose, in this order of rules, from a cluster's counts and flags."""
-    return (
-        F.when(n_art > 0, "figure").when((n_h >= 2) & (n_v >= 2) & ((n_h >= 3) | (n_v >= 3)), "grid").when((n_fills >= 3) & bars, "figure").when((n_fills >= 2) & same_row, "cards")
-        .when((n_fills >= 2) & same_column, "stripes").when(n_fills == 1, "boxlike").when(n >= 4, "figure").otherwise("loose")
-    )
-
-
-def grow_figure(seed: tuple[float, float, float, float], lines: list[tuple[float, float, float, float]], page: tuple[float, float]) -> tuple[tuple[float, float, float, float], list[int]]:
-    """The box of a figure that has absorbed its labels, and their places: at most 6 rounds, at most 4 times the seed or 55 % of the page; undone if more than 35 % of the page's text went in."""
-    area = lambda b: max(0.0, b[2] - b[0]) * max(0.0, b[3] - b[1])
-    both = lambda a, b: (max(a[0], b[0]), max(a[1], b[1]), min(a[2], b[2]), min(a[3], b[3]))
-    box, taken, width = seed, [], seed[2] - seed[0]
-    for _ in range(6):
-        wide, before = (box[0] - 14, box[1] - 14, box[2] + 14, box[3] + 14), len(taken)
-        for i, b in enumerate(lines):
-            if i in taken or not area(both(wide, b)):
-                continue
-            inside = area(both(box, b)) > 0.8 * area(b)
-            small = b[3] - b[1] <= 45 and b[2] - b[0] <= max(1.06 * width, 60)
-            grown = (min(box[0], b[0]), min(box[1], b[1]), max(box[2], b[2]), max(box[3], b[3]))
-            if inside or small and area(grown) <= min(4 * area(seed), 0.55 * page[0] * page[1]):
-                taken.append(i)
-                box = grown
-        if len(taken) == before:
-            break
-    if sum(area(lines[i]) for i in taken) > 0.35 * sum(map(area, lines)):
-        return seed, []
-    return (max(0.0, box[0] - 2), max(0.0, box[1] - 2), min(page[0], box[2] + 2), min(page[1], box[3] + 2)), taken
-
-
 def lock_lines(paras: pd.DataFrame) -> pd.DataFrame:
     """Paragraphs of a page in order (source_lines, predicted, line_height, slack, capacity) with an outcome: a lock takes room, and later ones see what is left."""
     slack, out = float(paras["slack"].iloc[0]), []

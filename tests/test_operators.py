@@ -95,8 +95,6 @@ def test_page_assembly(spark):
     parts = pd.DataFrame({"text": ["host", "2"], "x0": [0.0, 41], "x1": [40.0, 45], "baseline": [100.0, 96], "size": [10.0, 6]})
     got = A.absorb_scripts(parts)
     assert got[["text", "sup"]].values.tolist() == [["host2", "2"]]
-    box, taken = A.grow_figure((100, 100, 200, 200), [(110, 205, 150, 215), (0, 600, 500, 612), (0, 620, 500, 632)], (612, 792))
-    assert taken == [0] and box == (98, 98, 202, 217)
     paras = pd.DataFrame({"seq": [1, 2, 3, 4], "source_lines": [1, 3, 4, 5], "predicted": [1, 3, 2, np.nan], "line_height": [12.0] * 4, "slack": [60.0] * 4, "capacity": [100.0] * 4})
     assert A.lock_lines(paras)["outcome"].tolist() == ["short", "flow", "line-locked", "unpredictable"]
     best = A.refine(5, lambda x: x, lambda x: (0, abs(x - 2), 0.5), lambda x, _: x - 1 if x else None, 9)

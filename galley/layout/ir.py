@@ -62,3 +62,37 @@ def normalised(rows: DataFrame) -> DataFrame:
     labelled = hit.select(*page, F.lit("line").alias("kind"), "oid", F.lit("• ").alias("bullet"))
     kept = rows.join(used, [*page, "kind", "oid"], "left_anti").where("kind != 'glyph'")
     return kept.join(labelled, [*page, "kind", "oid"], "left").withColumn("text", F.concat(F.coalesce("bullet", F.lit("")), "text")).drop("bullet").select(*[n for n, _ in _FIELDS])
+
+
+def light_lines(rows: DataFrame) -> DataFrame:
+    """(doc_id, page, text, top, baseline, bottom): lines without styles, in reading order, for comparisons."""
+    return rows.where("kind = 'line'").select("doc_id", "page", "oid", "text", F.col("y0").alias("top"), "baseline", F.col("y1").alias("bottom"))
+
+
+def words(rows: DataFrame) -> DataFrame:
+    """(doc_id, page, oid, k, word, x0, y0, x1, y1): words of lines with boxes by their share of the line's characters; a run of ideographs is split into characters."""
+    pattern = "[\\x{2E80}-\\x{9FFF}\\x{AC00}-\\x{D7AF}]|[^\\x20\\x09-\\x0D\\x{2E80}-\\x{9FFF}\\x{AC00}-\\x{D7AF}]+|[\\x20\\x09-\\x0D]+"
+    pieces = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    each = rows.where("kind = 'line' and text != ''").withColumn("p", pieces).withColumn("step", (F.col("x1") - F.col("x0")) / F.length("text"))
+    before = lambda i: F.aggregate(F.slice("p", F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
+    placed = F.transform("p", lambda x, i: F.struct(x.alias("word"), before(i).alias("at"), F.length(x).alias("n")))
+    w = each.select("doc_id", "page", "oid", "x0", "y0", "y1", "step", F.posexplode(placed).alias("k", "w")).where(~F.col("w.word").rlike("^[\\x20\\x09-\\x0D]+$"))
+    start = F.col("x0") + F.col("step") * F.col("w.at")
+    return w.select("doc_id", "page", "oid", "k", F.col("w.word").alias("word"), start.alias("x0"), "y0", (start + F.col("step") * F.col("w.n")).alias("x1"), "y1")
+
+
+def links(rows: DataFrame) -> DataFrame:
+    """(doc_id, page, uri, x0, y0, x1, y1): what links cover, neighbouring lines of one target on a page as one box."""
+    return rows.where("link is not null and link != ''").groupBy("doc_id", "page", F.col("link").alias("uri")).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+
+
+def census(rows: DataFrame) -> DataFrame:
+    """(doc_id, page, n_lines, n_chars, n_drawings, n_images, n_glyphs, visual): the counts by which pages are classed; visual: an image over a quarter of it, or 30 drawings over a fifth."""
+    of = lambda k: F.count_if(F.col("kind") == k)
+    box = Box.of()
+    counted = rows.groupBy("doc_id", "page").agg(
+        of("line").alias("n_lines"), F.coalesce(F.sum(F.when(F.col("kind") == "line", F.length("text"))), F.lit(0)).alias("n_chars"), of("drawing").alias("n_drawings"), of("image").alias("n_images"), of("glyph").alias("n_glyphs"),
+        F.max(F.when(F.col("kind") == "image", box.area() / (F.col("page_w") * F.col("page_h")))).alias("i"), F.sum(F.when(F.col("kind") == "drawing", box.area() / (F.col("page_w") * F.col("page_h")))).alias("d"),
+    )
+    visual = F.coalesce(F.col("i") >= 0.25, F.lit(False)) | ((F.col("n_drawings") >= 30) & F.coalesce(F.col("d") >= 0.2, F.lit(False)))
+    return counted.withColumn("visual", visual).drop("i", "d")

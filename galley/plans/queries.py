@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from galley.plans import fidelity, flow, gates, more, release, scalars, sequences, spatial  # noqa: F401  they register themselves
+from galley.plans import fidelity, flow, gates, layout, more, release, scalars, sequences, spatial  # noqa: F401  they register themselves
 from galley.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -12,6 +12,7 @@ from galley import api, cli, errors
 from galley.layout import infer, ir
 from galley.layout import page as P
 from galley.sinks import docx
+from galley.sources import backends, synthetic
 from galley.sources import docx as source
 
 
@@ -209,3 +210,42 @@ def test_preflight(spark):
     rows = spark.createDataFrame([page(d, p, int(d != 3)) for d in range(1, 7) for p in range(1, 4 if d != 2 else 8)], ir.PAGE)
     got = {r.doc_id: r.status for r in api.preflight(rows, api.Options(max_pages=5, max_run_pages=7)).collect()}
     assert got == {1: "ready", 2: "refused", 3: "refused", 4: "ready", 5: "failed", 6: "skipped"}
+
+
+def test_scans_of_objects(spark):
+    cjk = line("ab 漢字 cd", 0.0, 0.0, width=80.0)
+    rows = ir.objects(spark.createDataFrame([(1, 1, 612.0, 792.0, [tuple(x[c] for c in LINE) for x in (cjk, line("go", 10.0, 50.0, link="https://x"), line("on", 10.0, 62.0, link="https://x"))], [], [(0.0, 0.0, 612.0, 300.0, None)], [(1.0, 1.0, 3.0, 3.0, 4.0)])], ir.PAGE))
+    got = [(w.word, w.x0, w.x1) for w in ir.words(rows).where("oid = 0").orderBy("k").collect()]
+    assert got == [("ab", 0, 20), ("漢", 30, 40), ("字", 40, 50), ("cd", 60, 80)]
+    assert [(r.uri, r.y0, r.y1) for r in ir.links(rows).collect()] == [("https://x", 50, 72)]
+    assert [tuple(r[c] for c in ("n_lines", "n_images", "n_glyphs", "visual")) for r in ir.census(rows).collect()] == [(3, 1, 1, True)]
+    assert ir.light_lines(rows).count() == 3
+
+
+LINE = ("x0", "y0", "x1", "y1", "text", "size", "baseline", "font", "bold", "italic", "mono", "dir_y", "link")
+
+
+def test_edge_cases_and_backends(spark, document):
+    made = infer.infer(ir.objects(synthetic.edge_cases(spark)))
+    assert sorted((r.doc_id, r.page, r.text) for r in made.collect() if r.kind != "header") == [(1, 1, "landscape"), (2, 1, "first"), (2, 2, "second"), (3, 1, "straight"), (4, 1, "t"), (5, 1, "HUGE")]
+    assert backends.select("json")(spark, document).count() == 6
+    with pytest.raises(errors.InvalidOptions):
+        backends.select("none at all")
+
+
+def test_pages_of_texts_against_the_fold(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(2300))), (2, "short"), (3, None), (4, "")], "doc_id bigint, text string")
+    rows = ir.objects(synthetic.from_text(docs))
+    made = {(r.doc_id, r.page, r.seq): r for r in infer.infer(rows).collect() if r.kind not in ("header", "footer")}
+    edges = {r.doc_id: (r.col_l, r.col_r) for r in infer.margins(rows).collect()}
+    pages = {}
+    for r in rows.collect():
+        if not (r.kind == "line" and (r.y0 < 62 or r.y0 > 750)) or r.doc_id == 2:
+            pages.setdefault((r.doc_id, r.page), []).append(r.asDict())
+    want = 0
+    for (d, p), objects in pages.items():
+        for seq, e in enumerate(P.Page(objects, 612.0, 792.0, *edges[d]).assemble()):
+            want += 1
+            got = made[d, p, seq]
+            assert (got.kind if got.kind != "heading" else "para", got.x0, got.y0, got.text) == (e["kind"], e["x0"], e["y0"], e.get("text")), (d, p, seq)
+    assert want == len(made) and {r.kind for r in made.values()} >= {"para", "table", "figure"}

@@ -25,7 +25,7 @@ def brute_words(text):
 def pages(spark, tmp_path_factory):
     """Texts of no, one, two and three pages."""
     sf, rng = str(tmp_path_factory.mktemp("pages")), random.Random(3)
-    texts = {k: " ".join(rng.choice(["a", "Bc", "def", "Ghijk", "lmnopqrst", "Uvwxyzabcdefgh"]) for _ in range(n)) for k, n in enumerate([0, 7, 400, 401, 777, 1003])}
+    texts = {k: " ".join(rng.choice(["a", "Bc", "def", "Ghijk", "lmnopqrst", "Uvwxyzabcdefgh"]) for _ in range(n)) for k, n in enumerate([0, 7, 400, 401, 777, 803, 1003])}
     spark.createDataFrame([(k, t) for k, t in texts.items()] + [(9, None)], "doc_id bigint, text string").write.parquet(f"{sf}/documents.parquet")
     spark.read.parquet(f"{SF}/nation.parquet").write.parquet(f"{sf}/nation.parquet")
     return sf, {k: list(brute_words(t)) for k, t in texts.items()}

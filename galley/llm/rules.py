@@ -4,14 +4,12 @@ The field's two labels are boilerplate (0) and content (1). A line's score for a
 features below, neighbouring labels have a transition score, and Viterbi decoding gives the best labels of
 a whole document; the share of word characters in content lines then decides whether to keep it. The
 weights are fitted by maximum likelihood on a bounded sample of documents with labels. Lines of a document
-of bad quality are boilerplate; so are, in a good one, lines that repeat an earlier line of it or that
-several documents of the sample share (see boilerplate); the others are content. Without labels of both
-kinds the weights of `Field.default` hold.
+of bad quality are boilerplate; so are, in a good one, lines that repeat an earlier line of it; the others are
+content. Without labels of both kinds the weights of `Field.default` hold.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,8 +22,6 @@ from galley.llm import textvec
 
 #: Documents of either quality, and bytes of a document, that the field is fitted on at most.
 SAMPLE_DOCS, SAMPLE_BYTES = 1500, 1 << 15
-#: A line that so many documents of the sample have is boilerplate.
-SHARED_BY = 5
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
 FEATURES = ["bias", "symbols", "capitals", "digits", "pipes", "same_word", "seen_line", "marks", "log_words", "word_length", "few_kinds"]
@@ -184,15 +180,13 @@ def _likelihood(w: np.ndarray, x: np.ndarray, text: np.ndarray, y: np.ndarray, l
     return value / n + l2 * (w @ w), grad / n + 2 * l2 * w
 
 
-def boilerplate(texts: list[str]) -> np.ndarray:
-    """Whether each line (of all texts, in order) equals an earlier line of its text or a line of SHARED_BY different texts or more; lines without a word are not."""
-    keys = [[line.strip() for line in text.split("\n")] for text in texts]
-    shared = Counter(key for text in set(texts) for key in {line.strip() for line in text.split("\n")})
+def repeated(texts: list[str]) -> np.ndarray:
+    """Whether each line (of all texts, in order) has a word and equals an earlier line of its text, white space at the ends apart."""
     out = []
-    for of_text in keys:
+    for text in texts:
         seen: set[str] = set()
-        for key in of_text:
-            out.append(bool(key) and (key in seen or shared[key] >= SHARED_BY))
+        for key in (line.strip() for line in text.split("\n")):
+            out.append(bool(key) and key in seen)
             seen.add(key)
     return np.array(out, bool)
 
@@ -201,16 +195,15 @@ def fit(texts: list[str], good: list[bool], steps: int = 150) -> Field:
     """The field of most likelihood (with a small penalty) for lines labelled by their document's quality and their repetition."""
     if len(set(good)) < 2:
         return Field.default()
-    xs, docs, ys, done = [], [], [], 0
+    xs, docs, ys = [], [], []
     y = np.array(good, np.int64)
     for row, part in textvec.slices(pa.array(texts, pa.large_string())):
         c = count(part)
         xs.append(c.features)
         docs.append(c.line_text + row)
         ys.append(y[c.line_text + row])
-        done += part.n
     x, doc, y = np.concatenate(xs), np.concatenate(docs), np.concatenate(ys)
-    y = np.where(boilerplate(texts), 0, y)
+    y = np.where(repeated(texts), 0, y)
     w, m, v = np.zeros(x.shape[1] + 4), 0.0, 0.0
     for i in range(1, steps + 1):
         _, g = _likelihood(w, x, doc, y, 1e-4)

@@ -2,9 +2,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from galley.llm import langid, linear, minhash, quality, topk
+from galley.llm import langid, linear, minhash, quality, textvec, topk
 
 
 def sets_of(texts, k):
@@ -161,3 +162,58 @@ def test_language_id(spark):
     by = {x.doc_id: x.lang_pred for x in got}
     assert by[900] == by[901] == "und" and by[902] != "und"
     assert langid.predict(df, langid.train(df.where("false"))).where("lang_pred != 'und'").count() == 0
+
+
+def texts_of(texts):
+    return next(textvec.slices(pa.array(texts, pa.string())))[1]
+
+
+def test_grades_against_plain_loops():
+    r = random.Random(4)
+    bits = ["tree", "River", "AB", "ab", "ab", "é", "$", "|", "x1", "\n", "  "]
+    texts = ["", *(" ".join(r.choice(bits) for _ in range(r.randint(0, 30))) for _ in range(60))]
+    model = quality.fit(texts, [r.randrange(3) for _ in texts])
+    assert model.thresholds[0] < model.thresholds[1]
+    tails = quality.Model(np.sin(np.arange(quality.WIDTH)), np.array([-0.5, 0.7]))
+    got = tails.tails(texts_of(texts))
+    for t, row in zip(texts, got):
+        raw, columns, before = t.encode(), [], None
+        for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", raw):
+            w = m[0]
+            low = bytes(c + 32 if 65 <= c <= 90 else c for c in w)
+            head = low[:4]
+            full, first = (int(textvec.Texts(np.frombuffer(b, np.uint8), np.array([0, len(b)]), np.zeros(1, bool)).hashes(np.array([0]), np.array([len(b)]))[0]) for b in (low, head))
+            columns += [full >> 46, int(textvec.mix(np.array([(first + 1) & (2**64 - 1)], np.uint64))[0]) >> 46]
+            if len(w) >= 2 and all(65 <= c <= 90 for c in w):
+                columns.append(1)
+            if low == before:
+                columns.append(2)
+            before = low
+        columns += [16 + c for c in raw if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 or c == 32 or 9 <= c <= 13)]
+        s = sum(np.sin(c) for c in columns) / np.sqrt(max(1, len(columns)))
+        assert row == pytest.approx([1 / (1 + np.exp(th - s)) for th in (-0.5, 0.7)])
+
+
+def test_votes_against_plain_loops():
+    r = np.random.default_rng(6)
+    texts = ["", "ab", "The cat sat\non the mat", "der  hund", "le chat " * 20, "zz"]
+    families = {"f": ["a", "b", "c"], "g": ["d"], "h": ["e", "i"]}
+    pairs = [("family:f", "family:g"), ("family:f", "family:h"), ("family:g", "family:h"), ("a", "b"), ("a", "c"), ("b", "c"), ("e", "i")]
+    model = langid.Model(families, pairs, r.normal(size=(7, langid.WIDTH)).astype(np.float32), r.normal(size=7))
+    got, _ = model.predict(texts_of(texts))
+    for t, lang in zip(texts, got):
+        column, first = langid.trigrams(texts_of([t]))
+        assert len(column) == max(0, len(t.encode()) - 2) == first[1]
+        margin = {p: sum(float(w[c]) for c in column) * 16 / max(1, len(column)) + b for p, w, b in zip(pairs, model.weights, model.bias)}
+
+        def winner(names):
+            wins = {n: 0 for n in names}
+            total = {n: 0.0 for n in names}
+            for (a, b), m in margin.items():
+                if a in wins and b in wins:
+                    wins[a if m > 0 else b] += 1
+                    total[a] += m
+                    total[b] -= m
+            return max(names, key=lambda n: (wins[n], total[n]))
+
+        assert lang == winner(families[winner([f"family:{f}" for f in families])[7:]])

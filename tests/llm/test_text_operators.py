@@ -157,6 +157,26 @@ def test_rules_against_brute_force(spark, doc_table):
     assert rules.judge(doc_table([]), rules.Field.default()).count() == 0
 
 
+def test_the_field_marks_repeated_lines_and_its_gradient_is_right():
+    r = random.Random(9)
+    prose = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(r.randint(8, 20)))
+    texts = ["\n".join([prose(), "the same line again", prose(), "the same line again", prose()]) for _ in range(60)] + ["\n".join("## $$ || %% &&" for _ in range(4)) + f"\n#{i}" for i in range(60)]
+    field = rules.fit(texts, [i < 60 for i in range(120)])
+    c = rules.count(texts_of(texts[:2]))
+    assert rules.viterbi(field, c.features, c.line_text).tolist() == [1, 1, 1, 0, 1] * 2
+    rng = np.random.default_rng(2)
+    text, x = np.repeat(np.arange(3), [3, 1, 4]), rng.normal(size=(8, 2))
+    y, w = rng.integers(0, 2, 8), rng.normal(size=6)
+    value, grad = rules._likelihood(w, x, text, y, 0.01)
+    for i in range(6):
+        step = np.eye(6)[i] * 1e-6
+        assert (rules._likelihood(w + step, x, text, y, 0.01)[0] - rules._likelihood(w - step, x, text, y, 0.01)[0]) / 2e-6 == pytest.approx(grad[i], abs=1e-5)
+    score = lambda ys, d: sum(x[i] @ w[:2] * k for i, k in zip(np.flatnonzero(text == d), ys)) + sum(w[2:].reshape(2, 2)[a, b] for a, b in zip(ys, ys[1:]))
+    paths = lambda n: [[k >> j & 1 for j in range(n)] for k in range(2**n)]
+    brute = sum(np.log(sum(np.exp(score(p, d)) for p in paths((text == d).sum()))) - score(list(y[text == d]), d) for d in range(3)) / 3 + 0.01 * (w @ w)
+    assert value == pytest.approx(brute)
+
+
 def test_viterbi_is_the_best_path():
     r = np.random.default_rng(1)
     for _ in range(20):

@@ -17,6 +17,11 @@ OF_WORDS = "(/|(^|[^\\p{L}])(of|de|von|sur))$"
 # Blocks of scripts, as ranges of code points in a character class.
 CJK = "[\\x{2E80}-\\x{9FFF}\\x{AC00}-\\x{D7AF}\\x{F900}-\\x{FAFF}\\x{FF00}-\\x{FFEF}]"
 RTL = "[\\x{0590}-\\x{08FF}\\x{FB1D}-\\x{FDFF}\\x{FE70}-\\x{FEFF}]"
+# Advances (thousandths) of the printable ASCII characters in the standard sans-serif font.
+HELVETICA = {
+    191: "'", 222: "ijl", 260: "|", 278: " !,./:;I[\\]ft", 333: "()-`r", 334: "{}", 355: '"', 389: "*", 469: "^", 500: "Jcksvxyz", 556: "#$0123456789?L_abdeghnopqu", 584: "+<=>~", 611: "FTZ",
+    667: "&ABEKPSVXY", 722: "CDHNRUw", 778: "GOQ", 833: "Mm", 889: "%", 944: "W", 1015: "@",
+}
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 

@@ -89,15 +89,15 @@ def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-WITH {_PIXELS}, s AS (SELECT a.vec_id, a.at // 32 AS block, avg(a.v) AS ma, avg(b.v) AS mb, var_pop(a.v) AS va, var_pop(b.v) AS vb, covar_pop(a.v, b.v) AS cab FROM px a JOIN px b ON b.vec_id = a.vec_id + 1 AND b.at = a.at GROUP BY ALL)
-SELECT vec_id, round(avg(((2 * ma * mb + 6.5025) * (2 * cab + 58.5225)) / ((ma * ma + mb * mb + 6.5025) * (va + vb + 58.5225))), 8) AS ssim FROM s GROUP BY vec_id
+WITH {_PIXELS}, s AS (SELECT a.vec_id // 4 AS page, a.vec_id % 4 AS block, avg(a.v) AS ma, avg(b.v) AS mb, var_pop(a.v) AS va, var_pop(b.v) AS vb, covar_pop(a.v, b.v) AS cab FROM px a JOIN px b ON b.vec_id = a.vec_id + 4 AND b.at = a.at GROUP BY ALL)
+SELECT page, round(avg(((2 * ma * mb + 6.5025) * (2 * cab + 58.5225)) / ((ma * ma + mb * mb + 6.5025) * (va + vb + 58.5225))), 8) AS ssim, count(*) AS n_blocks FROM s GROUP BY page
 """)
 def ssim_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Structural similarity of neighbouring vectors as pages of two blocks."""
+    """Structural similarity of neighbouring pages; a vector of 64 values is a block of 8 by 8 pixels, four of them a page."""
     p = _pixels(spark, sf_dir)
-    q = p.select((F.col("vec_id") - 1).alias("vec_id"), "at", F.col("v").alias("w"))
-    pairs = p.join(q, ["vec_id", "at"]).withColumn("block", F.floor(F.col("at") / 32))
-    return D.similarity(F.col("v"), F.col("w"), pairs, ["vec_id", "block"]).groupBy("vec_id").agg(F.round(F.avg("ssim"), 8).alias("ssim"))
+    q = p.select((F.col("vec_id") - 4).alias("vec_id"), "at", F.col("v").alias("w"))
+    pairs = p.join(q, ["vec_id", "at"]).select(F.floor(F.col("vec_id") / 4).alias("page"), (F.col("vec_id") % 4).alias("block"), "v", "w")
+    return D.similarity(F.col("v"), F.col("w"), pairs, ["page", "block"]).groupBy("page").agg(F.round(F.avg("ssim"), 8).alias("ssim"), F.count("*").alias("n_blocks"))
 
 
 @query(rf"""

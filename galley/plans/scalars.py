@@ -67,6 +67,19 @@ def text_width_courier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.text_lines(spark, sf_dir).select("doc_id", "n", T.width(line, {}, size, default=600).alias("width"), T.width(line, ascii_, size).alias("ascii_width"))
 
 
+_QUOTED = {w: c.replace("'", "''") for w, c in T.HELVETICA.items()}
+_COUNTS = " + ".join(f"{w} * (length(line) - length(translate(line, '{c}', '')))" for w, c in _QUOTED.items())
+_KNOWN = "".join(_QUOTED.values())
+
+
+@query(f"""
+WITH {V.TEXT_LINES} SELECT doc_id, n, CASE WHEN translate(line, '{_KNOWN}', '') = '' THEN ({_COUNTS}) * 9.5::DOUBLE / 1000 END AS width FROM text_lines
+""")
+def text_width_sans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Widths of lines in the standard sans-serif font; null where a character has no advance."""
+    return V.text_lines(spark, sf_dir).select("doc_id", "n", T.width(F.col("line"), T.HELVETICA, F.lit(9.5)).alias("width"))
+
+
 @query(rf"""
 WITH {V.TEXT_LINES}, f AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY n) AS following FROM text_lines)
 SELECT doc_id, sha256(string_agg(CASE WHEN following IS NULL THEN line WHEN regexp_matches(line, '\p{{L}}-$') AND regexp_matches(following, '^\p{{Ll}}') THEN regexp_replace(line, '-$', '')

@@ -24,8 +24,9 @@ from pyspark.sql.window import Window
 
 from galley.operators import tables as scratch
 
-#: Vectors in a block of candidates and of queries; queries that share one compaction; dimensions in a group.
-CANDIDATES, QUERIES, STRIP, GROUP = 8192, 8192, 64, 16
+#: Vectors in a block of candidates and of queries; queries that share one compaction; dimensions in a group;
+#: of so many candidates one is scored first, for a floor where none is given.
+CANDIDATES, QUERIES, STRIP, GROUP, FLOOR_OF = 8192, 8192, 64, 16, 8
 _PACKED = "dim int, block string, n int, ids binary, vectors binary"
 
 
@@ -95,7 +96,8 @@ def block_top(
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query's place, vec_ids, scores) of the k best candidates of each query, ties to smaller vec_id; q and v are (dim, n), whole numbers.
 
-    Candidates below a query's floor may be left out. tally gets the share of the candidates that each strip
+    Candidates below a query's floor may be left out; a query without one starts from the k-th best of every
+    FLOOR_OF-th candidate. tally gets the share of the candidates that each strip
     still has behind each group but the last.
     """
     dim, n = v.shape
@@ -109,8 +111,12 @@ def block_top(
     groups = [slice(i, min(i + group, dim)) for i in range(0, dim, group)]
     norms = lambda m: np.stack([np.sqrt((m[g].astype(np.float64) ** 2).sum(axis=0)) for g in groups]) if groups else np.zeros((0, m.shape[1]))
     q_norm, v_norm = norms(q), norms(v)
+    some = np.arange(0, n, max(1, min(FLOOR_OF, n // (k + 1))))
     for s in range(0, q.shape[1], STRIP):
         qs, ids, floor = q[:, s : s + STRIP], qid[s : s + STRIP], floors[s : s + STRIP]
+        if kind is not object and len(some) > k and not np.isfinite(floor).all():
+            sure = np.where(vid[some][None, :] == ids[:, None], -np.inf, qs.T @ v[:, some])
+            floor = np.maximum(floor, np.partition(sure, len(some) - k, axis=1)[:, len(some) - k])
         alive = np.arange(n)
         partial = np.zeros((len(ids), n), kind)
         for i, g in enumerate(groups):
@@ -118,9 +124,6 @@ def block_top(
             if i + 1 == len(groups) or kind is object:
                 continue
             slack = q_norm[i + 1 :, s : s + STRIP].T @ v_norm[i + 1 :, alive] * (1 + 1e-6) + 1e-6
-            if len(alive) > k + 1 and not np.isfinite(floor).all():
-                low = np.where(vid[alive][None, :] == ids[:, None], -np.inf, partial - slack)
-                floor = np.maximum(floor, np.partition(low, len(alive) - k, axis=1)[:, len(alive) - k])
             stay = ((partial + slack) >= floor[:, None]).any(axis=0)
             if tally is not None:
                 tally.append(stay.sum() / max(1, n))

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from galley.llm import langid, linear, minhash, quality, textvec, topk
 
@@ -147,6 +148,16 @@ def test_quality_selects(spark, doc_table):
     assert quality.select(docs, none).count() == len(rows) and quality.grade(docs.where("false"), none).count() == 0
 
 
+def test_language_sample_is_the_least_hashes(spark, monkeypatch):
+    """A language larger than four samples, one of two documents, and an id that holds a third of all rows."""
+    df = spark.range(4000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "if(id < 2, 'bb', 'aa') AS lang").union(spark.range(2000).selectExpr("7L", "'text 7'", "'aa'"))
+    monkeypatch.setattr(langid, "fit", lambda texts, langs: list(zip(texts, langs, strict=True)))
+    picked = langid.train(df)
+    ids = df.where(~langid.held_out(F.col("doc_id"))).distinct().withColumn("h", F.xxhash64("doc_id", F.lit("lang"))).collect()
+    want = [x for lang in ("aa", "bb") for x in sorted((r.h, r.text, r.lang) for r in ids if r.lang == lang)[: langid.SAMPLE_DOCS]]
+    assert sorted(picked) == sorted((t, lang) for _, t, lang in want) and len(picked) > langid.SAMPLE_DOCS
+
+
 def test_language_id(spark):
     r = random.Random(2)
     parts = {"en": ["the", "ing", "and", "that"], "de": ["sch", "ein", "ung", "der"], "fr": ["eau", "oux", "les", "que"], "xx": ["kwa", "zul", "mbe", "ngo"]}

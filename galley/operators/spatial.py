@@ -43,11 +43,21 @@ def boxes_over_boxes(left: DataFrame, right: DataFrame, keys: list[str], within:
 
 
 def touching(boxes: DataFrame, keys: list[str], ident: str, within: float, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(ident, component): boxes joined by chains of neighbours at most `within` apart on both axes; single boxes are components of their own."""
-    side = lambda p: boxes.select(*keys, F.col(ident).alias(f"{p}id"), *[F.col(c).alias(f"{p}{c}") for c in ("x0", "y0", "x1", "y1")])
+    """(ident, component): boxes joined by chains of neighbours at most `within` apart on both axes; single boxes are components of their own.
+
+    Boxes at one place are neighbours of each other and have the same neighbours, so the smallest stands for
+    all of them: pairs grow with the places of boxes, not with the square of how many lie at one.
+    """
+    place = [*keys, "x0", "y0", "x1", "y1"]
+    whole = F.lit(True)
+    for c in place:
+        whole = whole & F.col(c).isNotNull()
+    at = cut(boxes.where(whole).groupBy(*place).agg(F.min(ident).alias("__first")))
+    side = lambda p: at.select(*keys, F.col("__first").alias(f"{p}id"), *[F.col(c).alias(f"{p}{c}") for c in ("x0", "y0", "x1", "y1")])
     pairs = boxes_over_boxes(side("l_"), side("r_"), keys, within).where("l_id < r_id").select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
-    found = connected_components(pairs, cut)
-    return boxes.select(ident).join(found.withColumnRenamed("node", ident), ident, "left").select(ident, F.coalesce("component", F.col(ident)).alias("component"))
+    found = connected_components(pairs, cut).withColumnRenamed("node", "__first")
+    of = at.join(found, "__first", "left").select(*place, F.coalesce("component", "__first").alias("component"))
+    return boxes.select(ident, *place).join(of, place, "left").select(ident, F.coalesce("component", F.col(ident)).alias("component"))
 
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, name: str, forward: bool = True) -> DataFrame:

@@ -4,6 +4,8 @@ import random
 import re
 
 from galley.operators import fidelity as D
+from galley.operators import spatial as X
+from galley.operators.tables import keep
 from galley.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +49,49 @@ def test_greedy_words_many_rounds(spark):
 
 def test_greedy_word_match_moves_no_words(spark):
     assert not exploded_rows_moved(QUERIES["greedy_word_match"](spark, SF))
+
+
+def test_boxes_at_one_place(spark):
+    """A few places, each with many copies: pairs are made of places, and all copies are in the component."""
+    r, most = random.Random(2), []
+    places = [(p, 10.0 * r.randrange(12), 10.0 * r.randrange(12)) for p in range(2) for _ in range(40)]
+    rows = [(k, p, x, y, x + 8, y + 8) for k, (p, x, y) in enumerate(r.choice(places) for _ in range(2000))] + [(2000, 0, None, 1.0, 2.0, 3.0)]
+    root = {k: k for k, *_ in rows}
+
+    def find(k):
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    for a in rows[:-1]:
+        for b in rows[: a[0]]:
+            if a[1] == b[1] and abs(a[2] - b[2]) <= 14 and abs(a[3] - b[3]) <= 14:
+                p, q = find(a[0]), find(b[0])
+                root[max(p, q)] = min(p, q)
+
+    def cut(df):
+        made = keep(df)
+        most.append(made.count())
+        return made
+
+    boxes = keep(spark.createDataFrame(rows, "id int, page int, x0 double, y0 double, x1 double, y1 double"))
+    assert {x.id: x.component for x in X.touching(boxes, ["page"], "id", 6.0, cut).collect()} == {k: find(k) for k in root}
+    assert max(most) < 1000
+    merged = {(x.page, x.id): x.n for x in X.merged_boxes(boxes.where("x0 is not null"), ["page"], "id", 6.0, keep).collect()}
+    assert sum(merged.values()) == 2000
+
+
+def test_severity_places(spark, tmp_path):
+    """Places are those of the order, however the range's partitions are merged."""
+    spark.range(20_000).selectExpr("id * 7919 % 20000 AS doc_id", "id % 97 AS n_chars").repartition(9).write.parquet(f"{tmp_path}/documents.parquet")
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "24k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.exchange.reuse": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = QUERIES["severity_report"](spark, str(tmp_path)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    order = sorted(rows, key=lambda x: (("error", "fail", "warn", "pass").index(x.verdict), x.doc_id))
+    assert [x.place for x in order] == list(range(1, 20_001))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from galley.operators import gate as Q
+from galley.operators.tables import keep
 from galley.plans import views as V
 from galley.plans.registry import query
 
@@ -151,7 +152,8 @@ def severity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report in the order of severity: a range sort, and places by the counts of what comes before."""
     verdict = F.when(F.col("page_err") > 0, "fail").when(F.col("live_text_cov").isNull(), "error").when(F.col("live_text_cov") < 0.95, "warn").otherwise("pass")
     r = rows(spark, sf_dir).select("doc_id", verdict.alias("verdict")).withColumn("rank", F.array_position(F.array(*map(F.lit, ("error", "fail", "warn", "pass"))), F.col("verdict")))
-    dealt = r.repartitionByRange("rank", "doc_id").withColumn("part", F.spark_partition_id())
+    # Ranges come from a sample and partitions are merged by size, so both readers below take the parts that were written once.
+    dealt = keep(r.repartitionByRange("rank", "doc_id").withColumn("part", F.spark_partition_id()))
     sizes = dealt.groupBy("part").count()
     before = sizes.select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     w = Window.partitionBy("part").orderBy("rank", "doc_id")

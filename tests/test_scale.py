@@ -84,7 +84,7 @@ def test_boxes_at_one_place(spark):
 def test_severity_places(spark, tmp_path):
     """Places are those of the order, however the range's partitions are merged."""
     spark.range(20_000).selectExpr("id * 7919 % 20000 AS doc_id", "id % 97 AS n_chars").repartition(9).write.parquet(f"{tmp_path}/documents.parquet")
-    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "24k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.exchange.reuse": "false"}
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "24k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
     before = {k: spark.conf.get(k) for k in conf}
     try:
         for k, v in conf.items():

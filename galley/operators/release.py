@@ -133,10 +133,15 @@ def lane_runs(documents: DataFrame, lanes: DataFrame, results: DataFrame, key: s
 
 
 def gaps_by_marker(source: DataFrame, rendered: DataFrame, keys: list[str], variant: str) -> DataFrame:
-    """(keys, variant, marker, gap, localised): how much lower a marker's paragraph is in a rendering of a variant, and what of that is new since the marker before."""
+    """(keys, variant, marker, gap, localised): how much lower a marker's paragraph is in a rendering of a variant, and what of that is new since the marker before. A page has a marker once."""
     from pyspark.sql.window import Window
 
-    met = source.join(rendered, [*keys, "marker"]).withColumn("gap", F.col("ry") - F.col("y"))
+    both = source.select(*keys, "marker", F.lit(None).cast(rendered.schema[variant].dataType).alias(variant), "y", F.lit(None).cast("double").alias("ry"), F.lit(True).alias("__s")).union(
+        rendered.select(*keys, "marker", variant, F.lit(None).cast("double"), "ry", F.lit(False))
+    )
+    # A marker's own place goes to all its renderings by one pass over the page, without a join that would move both tables.
+    own = F.max(F.when(F.col("__s"), F.struct("y"))).over(Window.partitionBy(*keys, "marker"))
+    met = both.withColumn("__y", own).where("not __s and __y is not null").withColumn("y", F.col("__y.y")).withColumn("gap", F.col("ry") - F.col("y"))
     before = F.lag("gap").over(Window.partitionBy(*keys, variant).orderBy("y"))
     return met.select(*keys, variant, "marker", "gap", (F.col("gap") - F.coalesce(before, F.lit(0.0))).alias("localised"))
 

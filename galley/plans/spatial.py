@@ -167,10 +167,12 @@ def gutter_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows vote for the gaps between their parts; a gutter needs three votes and a share of the rows of its arity."""
     r = V.words(spark, sf_dir).groupBy("doc_id", "page", "line", F.floor(F.col("slot") / 4).alias("part")).agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
     row = Window.partitionBy("doc_id", "page", "line")
-    g = r.withColumns({"arity": F.count("*").over(row), "px": F.lag("x1").over(row.orderBy("x0"))})
-    rows = g.groupBy("doc_id", "page", "arity").agg(F.count_distinct("line").alias("rows"))
-    votes = g.where((F.col("x0") - F.col("px") >= 1) & F.col("arity").between(2, 3)).groupBy("doc_id", "page", "arity", F.bround((F.col("x0") + F.col("px")) / 2 / 4, 0).alias("key")).agg(F.count("*").alias("votes"))
-    return votes.join(rows, ["doc_id", "page", "arity"]).where((F.col("rows") >= 3) & (F.col("votes") >= F.greatest(F.lit(3.0), K.GUTTER_SHARE * F.col("rows"))))
+    g = r.withColumns({"arity": F.count("*").over(row), "px": F.lag("x1").over(row.orderBy("x0")), "first": F.row_number().over(row.orderBy("x0")) == 1})
+    # Rows and votes come from one table: rows by their first parts, votes by key.
+    key = F.when(F.col("x0") - F.col("px") >= 1, F.bround((F.col("x0") + F.col("px")) / 2 / 4, 0))
+    counted = g.where(F.col("arity").between(2, 3)).groupBy("doc_id", "page", "arity", key.alias("key")).agg(F.count("*").alias("votes"), F.count_if("first").alias("firsts"))
+    votes = counted.withColumn("rows", F.sum("firsts").over(Window.partitionBy("doc_id", "page", "arity"))).drop("firsts")
+    return votes.where("key is not null").where((F.col("rows") >= 3) & (F.col("votes") >= F.greatest(F.lit(3.0), K.GUTTER_SHARE * F.col("rows"))))
 
 
 @query(rf"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from galley import tunables as K
+from galley.operators.tables import slices
 
 
 def islands(df: DataFrame, by: list[str], order: list[str | Column], breaks: Callable[[Callable[[str], Column]], Column], name: str = "island") -> DataFrame:
@@ -21,10 +22,11 @@ def islands(df: DataFrame, by: list[str], order: list[str | Column], breaks: Cal
 def chained_clusters(df: DataFrame, by: list[str], value: str, tol: float) -> DataFrame:
     """(by, cluster, mean, n, low, high): values in order, a new cluster where one is more than tol above the one before.
 
-    Equal values are counted before they are put in order, so a value that many rows share is one row.
+    Equal values are counted before they are put in order, so a value that many rows share is one row; groups are dealt out
+    in slices by the size of the input, so that what a task orders does not grow with it.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
-    made = islands(counted, by, [value], lambda prev: F.col(value) - prev(value) > tol, "cluster")
+    made = islands(counted.repartition(slices(df), *by), by, [value], lambda prev: F.col(value) - prev(value) > tol, "cluster")
     return made.groupBy(*by, "cluster").agg(
         (F.sum(F.col(value) * F.col("__n")) / F.sum("__n")).alias("mean"), F.sum("__n").alias("n"), F.min(value).alias("low"), F.max(value).alias("high")
     )
@@ -35,7 +37,7 @@ def order_statistic(df: DataFrame, by: list[str], value: str, place: Callable[[C
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__c"))
     w = Window.partitionBy(*by)
     upto = F.sum("__c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.withColumns({"__n": F.sum("__c").over(w), "__upto": upto})
+    ranked = counted.repartition(slices(df), *by).withColumns({"__n": F.sum("__c").over(w), "__upto": upto})
     at = place(F.col("__n"))
     return ranked.where((F.col("__upto") > at) & (F.col("__upto") - F.col("__c") <= at)).select(*by, F.col(value).alias(name), F.col("__n").alias("n"))
 
@@ -72,9 +74,19 @@ def running(df: DataFrame, by: list[str], order: list[str | Column], value: Colu
     return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)))
 
 
+def letter_spaced_rows(rows: DataFrame, keys: list[str], em: Column, glyphs: Column, least: int = 3) -> DataFrame:
+    """As letter_spaced(), of runs that come as one row each, with the arrays of their gaps and glyphs: nothing is moved."""
+    made = rows.select(*keys, F.sort_array(F.filter(em, lambda x: x.isNotNull())).alias("__g"), glyphs.alias("__u"))
+    n = F.size("__g")
+    middle = made.select(*keys, "__g", "__u", (0.5 * F.get("__g", F.floor((n - 1) / 2).cast("int")) + 0.5 * F.get("__g", F.floor(n / 2).cast("int"))).alias("mid"))
+    alpha = F.size(F.filter("__u", lambda u: u.rlike("^[A-Za-z]$"))) / F.size("__u")
+    even = F.size(F.filter("__g", lambda x: F.abs(x - F.col("mid")) <= 0.05)) / n
+    tracked = (F.col("mid") >= K.TRACK_LOW) & (F.col("mid") < K.TRACK_HIGH) & (alpha >= K.TRACK_ALPHA) & (even >= K.TRACK_UNIFORM)
+    # By inline, as a filter would be moved below and sort the gaps once more.
+    return middle.select(*keys, F.inline(F.when(n >= least, F.array(F.struct("mid", tracked.alias("tracked"))))))
+
+
 def letter_spaced(glyphs: DataFrame, keys: list[str], em: str, glyph: str, least: int = 3) -> DataFrame:
     """(keys, mid, tracked) of runs of glyphs with at least so many gaps (em, null before the first): the median gap, and whether gaps are wide and even between letters."""
-    s = glyphs.groupBy(*keys).agg(F.percentile(em, 0.5).alias("mid"), F.avg(F.col(glyph).rlike("^[A-Za-z]$").cast("int")).alias("__alpha"), F.count(em).alias("__n"), F.collect_list(em).alias("__g"))
-    even = F.size(F.filter("__g", lambda x: F.abs(x - F.col("mid")) <= 0.05)) / F.size("__g")
-    tracked = (F.col("mid") >= K.TRACK_LOW) & (F.col("mid") < K.TRACK_HIGH) & (F.col("__alpha") >= K.TRACK_ALPHA) & (even >= K.TRACK_UNIFORM)
-    return s.where(F.col("__n") >= least).select(*keys, "mid", tracked.alias("tracked"))
+    s = glyphs.groupBy(*keys).agg(F.collect_list(em).alias("__e"), F.collect_list(F.coalesce(glyph, F.lit(""))).alias("__c"))
+    return letter_spaced_rows(s, keys, F.col("__e"), F.col("__c"), least)

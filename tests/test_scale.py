@@ -3,10 +3,18 @@
 import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
+from galley.functions import text as T
+from galley.layout import ir
+from galley.layout.infer import infer
 from galley.operators import fidelity as D
 from galley.operators import spatial as X
+from galley.operators import tables
 from galley.operators.tables import keep
 from galley.plans.queries import QUERIES
+from galley.sources import synthetic
 
 SF = "/root/testdata/sf0.001"
 
@@ -95,3 +103,50 @@ def test_severity_places(spark, tmp_path):
             spark.conf.set(k, v)
     order = sorted(rows, key=lambda x: (("error", "fail", "warn", "pass").index(x.verdict), x.doc_id))
     assert [x.place for x in order] == list(range(1, 20_001))
+
+
+@pytest.mark.parametrize("name", ["letter_spacing", "spans_to_runs", "word_recall_multiset", "importer_quirks", "gram_coverage_pairs", "placement_percentiles", "height_jumps", "line_words", "page_census"])
+def test_moves_no_exploded_rows(spark, name):
+    assert not exploded_rows_moved(QUERIES[name](spark, SF))
+
+
+def test_votes_are_made_once(spark):
+    plan = QUERIES["gutter_votes"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("name", ["chained_cluster_1d", "order_statistics"])
+def test_slices_grow_with_the_input(spark, monkeypatch, name):
+    monkeypatch.setattr(tables, "SLICE", 4096)
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    dealt = [int(n) for n in re.findall(r"hashpartitioning\(l_suppkey#\d+L, (\d+)\), REPARTITION_BY_NUM", plan)]
+    assert dealt and min(dealt) > 20
+
+
+def test_rows_of_both_sides(spark):
+    """As a join, with repeated and absent keys and null values."""
+    a = spark.createDataFrame([(1, 1, 5.0), (1, 1, None), (1, 2, 6.0), (None, 1, 7.0), (2, 1, 8.0)], "doc int, i int, x double")
+    b = spark.createDataFrame([(1, 1, 50.0), (1, 1, 51.0), (1, 2, None), (None, 1, 70.0), (3, 1, 9.0)], "doc int, i int, rx double")
+    assert sorted(map(str, D.met(a, b, ["doc", "i"]).collect())) == sorted(map(str, a.join(b, ["doc", "i"]).collect()))
+
+
+def test_width_by_bytes(spark):
+    lines = ["", "Ab", "é", "aé", None, "a\tb", "日本", "~" * 5000, "W"] * 3
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(lines)], "k int, t string").repartition(2)
+    of = {c: a for a, chars in T.HELVETICA.items() for c in chars}
+    got = {r.k: (r.a, r.b) for r in df.select("k", T.width(F.col("t"), T.HELVETICA, F.lit(9.5)).alias("a"), T.width(F.col("t"), {500: "ab"}, F.lit(10.0), default=600).alias("b")).collect()}
+    for k, t in enumerate(lines):
+        known = t is not None and all(c in of for c in t)
+        assert got[k][0] == (sum(of[c] for c in t) * 9.5 / 1000.0 if known else None)
+        assert got[k][1] == (None if t is None else sum(500 if c in "ab" else 600 for c in t) * 10.0 / 1000.0)
+
+
+def test_width_takes_one_pass(spark):
+    assert "translate" not in QUERIES["text_width_sans"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_are_folded_as_a_stream(spark):
+    pages = synthetic.from_text(spark.createDataFrame([(k, " ".join(f"w{n}" for n in range(900 * k))) for k in range(3)] + [(None, "x"), (7, None)], "doc_id bigint, text string"))
+    made = infer(ir.objects(pages))
+    found = {(r.doc_id, r.page) for r in made.where("kind = 'para'").select("doc_id", "page").distinct().collect()}
+    assert found == {(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3), (2, 4), (2, 5)}
